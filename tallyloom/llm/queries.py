@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_classes
+from .packing import pack_documents
 from .simhash import near_duplicates
+from .token_files import token_file_digest
+from .tokens import public_vocabulary
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_vocabulary())
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +29,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_files": op3_token_files,
     "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
