@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_classes
+from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import public_vocabulary
+from .warc import archive_digest
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +22,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(read_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_mix_sources": op6_mix_sources,
+    "op9_warc": op9_warc,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op8_simhash": op8_simhash,
@@ -36,6 +48,51 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_mix_sources": """
+        WITH masses AS (
+            SELECT source, sum(coalesce(length(text), 0)) AS mass FROM documents GROUP BY source
+        ), weighed AS (
+            SELECT source, mass, sqrt(mass) AS weight FROM masses
+        ), rates AS (
+            SELECT source, CASE WHEN mass > 0 THEN weight / (SELECT sum(weight) FROM weighed)
+                   * (SELECT sum(mass) FROM weighed) / mass ELSE 1.0 END AS rate
+            FROM weighed
+        ), steps AS (
+            SELECT source, rate / greatest(ceil(rate / 16), 1) AS mean, CAST(greatest(ceil(rate / 16), 1) AS BIGINT) AS n
+            FROM rates
+        ), terms AS (
+            SELECT source, n, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
+            FROM steps, (SELECT unnest(range(100)) AS k) AS ks
+        ), draws AS (
+            SELECT d.doc_id, d.source, j.j,
+                   CAST(concat('0x', substr(md5(concat(d.doc_id, ':', j.j, ':mix')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+            FROM documents AS d JOIN steps AS s ON d.source IS NOT DISTINCT FROM s.source
+            JOIN (SELECT unnest(range(1, 200)) AS j) AS j ON j.j <= s.n
+        ), counts AS (
+            SELECT r.doc_id, count(*) AS copies
+            FROM draws AS r JOIN terms AS t ON r.source IS NOT DISTINCT FROM t.source AND t.below <= r.u
+            GROUP BY r.doc_id
+        ), copied AS (
+            SELECT doc_id, copies, unnest(range(copies)) AS copy FROM counts
+        )
+        SELECT d.*, c.copy, c.copies,
+               CAST(concat('0x', substr(md5(concat(c.doc_id, ':', c.copy, ':mix:order')), 1, 13)) AS BIGINT) / 4503599627370496.0
+               AS shuffle_key
+        FROM documents AS d JOIN copied AS c ON d.doc_id = c.doc_id
+    """,
+    "op9_warc": """
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+        FROM (
+            SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                (CAST(concat('0x', substr(sha1(coalesce(html, '')), 1 + 5 * (i // 4), 5)) AS BIGINT)
+                 // CAST(power(32, 3 - i % 4) AS BIGINT)) % 32 AS INTEGER), 1), '' ORDER BY i)
+                FROM (SELECT unnest(range(32)) AS i) AS digits) AS payload_digest
+            FROM pages
+        ) AS p
+        WINDOW w AS (PARTITION BY coalesce(html, ''))
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
