@@ -8,6 +8,7 @@ from .common import read_table
 from .exact_dedup import exact_classes
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import secret_report
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import public_vocabulary
@@ -22,6 +23,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_secrets": op5_secrets,
     "op6_mix_sources": op6_mix_sources,
     "op9_warc": op9_warc,
     "op1_best_fit_packing": op1_best_fit_packing,
