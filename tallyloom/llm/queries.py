@@ -14,6 +14,7 @@ from .secrets import secret_report
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import public_vocabulary
+from .toxicity import toxicity_scores
 from .warc import archive_digest
 
 
@@ -25,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op7_nearest": op7_nearest,
     "op5_secrets": op5_secrets,
     "op6_mix_sources": op6_mix_sources,
