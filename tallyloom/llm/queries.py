@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .chat import DEMO_SCHEMAS, calls_of_conversations, link_tool_calls
 from .common import read_table
 from .exact_dedup import exact_classes
 from .mixing import mix_sources
@@ -22,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*calls_of_conversations(read_table(spark, sf_dir, "conversations")), DEMO_SCHEMAS)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -55,6 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_tool_calls": op2_tool_calls,
     "op4_toxicity": op4_toxicity,
     "op7_nearest": op7_nearest,
     "op5_secrets": op5_secrets,
@@ -67,6 +73,48 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_tool_calls": """
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS content, length(coalesce(text, '')) AS size FROM conversations
+        ), calls AS (
+            SELECT conv_id, turn, content, size, concat('call_', turn) AS call_id,
+                   CASE size % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'summarise' WHEN 2 THEN 'translate' ELSE 'archive' END AS name
+            FROM t WHERE role = 'user'
+        ), depths AS (
+            SELECT conv_id, turn, 0 AS depth FROM calls AS c
+            WHERE NOT EXISTS (SELECT 1 FROM calls AS b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
+            UNION ALL
+            SELECT c.conv_id, c.turn, d.depth + 1 FROM depths AS d JOIN calls AS c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2
+        ), results AS (
+            SELECT conv_id, turn, content, concat('call_', turn - 1) AS call_id FROM t WHERE role = 'assistant'
+        )
+        SELECT c.conv_id, d.depth * 2 AS level, c.turn, 'call' AS kind, c.call_id,
+               CASE WHEN EXISTS (SELECT 1 FROM results AS r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id)
+                    THEN 'linked' ELSE 'unanswered' END AS status,
+               CASE c.name
+                    WHEN 'archive' THEN 'unknown tool'
+                    WHEN 'search' THEN concat_ws(',', CASE WHEN c.size = 0 OR c.size > 250 THEN 'query out of range' END,
+                        CASE WHEN c.size % 60 NOT BETWEEN 1 AND 50 THEN 'limit out of range' END,
+                        CASE WHEN c.size % 3 = 0 THEN 'unexpected lang' END)
+                    WHEN 'summarise' THEN concat_ws(',', CASE WHEN c.size < 20 THEN 'query out of range' END,
+                        CASE WHEN c.size % 60 NOT BETWEEN 5 AND 40 THEN 'limit out of range' END,
+                        CASE WHEN c.size % 3 = 0 THEN 'unexpected lang' END)
+                    ELSE concat_ws(',', CASE WHEN c.size = 0 THEN 'query out of range' END,
+                        CASE WHEN c.size % 3 <> 0 THEN 'lang missing' END, 'unexpected limit')
+               END AS errors,
+               concat('{"arguments":{', CASE WHEN c.size % 3 = 0 THEN '"lang":"en",' ELSE '' END, '"limit":', c.size % 60,
+                      ',"query":', CAST(to_json(c.content) AS VARCHAR), '},"id":"', c.call_id, '","name":"', c.name, '","type":"tool_call"}') AS json
+        FROM calls AS c JOIN depths AS d ON d.conv_id = c.conv_id AND d.turn = c.turn
+        UNION ALL
+        SELECT r.conv_id, coalesce(d.depth * 2 + 1, 0), r.turn, 'result', r.call_id,
+               CASE WHEN d.depth IS NULL THEN 'orphan' ELSE 'linked' END, '',
+               concat('{"content":', CAST(to_json(r.content) AS VARCHAR), ',"id":"', r.call_id, '","type":"tool_result"}')
+        FROM results AS r LEFT JOIN depths AS d ON d.conv_id = r.conv_id AND d.turn = r.turn - 1
+        UNION ALL
+        SELECT conv_id, 0, turn, 'message', NULL, 'plain', '',
+               concat('{"content":', CAST(to_json(content) AS VARCHAR), ',"role":', CAST(to_json(coalesce(role, '')) AS VARCHAR), ',"type":"message"}')
+        FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+    """,
     "op6_mix_sources": """
         WITH masses AS (
             SELECT source, sum(coalesce(length(text), 0)) AS mass FROM documents GROUP BY source
