@@ -31,73 +31,86 @@ FRAME_IDS = 1 << 15
 FRAME_SCHEMA = "part int, frame int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def _bit_widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs; 0 for 0."""
-    return np.frexp(values.astype(np.float64))[1]
+def _low_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of unsigned 32-bit values as rows of bytes, width bits for each, low bit first."""
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(*values.shape, 4), axis=2, bitorder="little")
+    return np.packbits(bits[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def _widths(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(width, most): the bits of each block's packed values, and those of its largest."""
+    needed = np.frexp(table.astype(np.float64))[1].astype(np.uint8)
+    ordered = np.sort(needed, axis=1)
+    most = ordered[:, -1].astype(np.int64)
+    width, least = most, most * BLOCK
+    for p in PERCENTILES[:-1]:
+        at = ordered[:, p * BLOCK // 100 - 1].astype(np.int64)
+        cost = at * BLOCK + (needed > at[:, None]).sum(axis=1) * 8 * (1 + (most - at + 7) // 8)
+        width, least = np.where(cost < least, at, width), np.minimum(cost, least)
+    return width, most
 
 
 def pack(ids: np.ndarray) -> bytes:
     """The payload of a sequence of unsigned 32-bit ids."""
-    n = len(ids)
-    blocks = -(-n // BLOCK)
-    table = np.zeros(blocks * BLOCK, np.int64)
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
+    if not n:
+        return struct.pack("<II", 0, 0)
+    table = np.full(blocks * BLOCK, ids[-1], "<u4")
     table[:n] = ids
-    table[n:] = ids[-1] if n else 0
     table = table.reshape(blocks, BLOCK)
-    least = table.min(axis=1, initial=1 << 32) if blocks else np.zeros(0, np.int64)
+    least = table.min(axis=1)
     table = table - least[:, None]
-    ordered = np.sort(_bit_widths(table), axis=1)
-    top = ordered[:, -1] if blocks else np.zeros(0, np.int64)
-    width, best = top.copy(), top * BLOCK
-    for p in PERCENTILES[:-1]:
-        at = ordered[:, p * BLOCK // 100 - 1] if blocks else top
-        over = (ordered > at[:, None]).sum(axis=1)
-        cost = at * BLOCK + over * 8 * (1 + (top - at + 7) // 8)
-        better = cost < best
-        width, best = np.where(better, at, width), np.where(better, cost, best)
-    outlier = table >> width[:, None]
-    packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    width, most = _widths(table)
+    high = (most - width + 7) // 8
+    outlier = (table.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
+    row, column = np.nonzero(outlier)
+    count = np.bincount(row, minlength=blocks)
+    sizes = 7 + BLOCK // 8 * width + count * (1 + high)
+    first = 8 + 4 * blocks
+    starts = first + np.cumsum(sizes) - sizes
+    out = np.zeros(first + int(sizes.sum()), np.uint8)
+    out[:8] = np.frombuffer(struct.pack("<II", n, blocks), np.uint8)
+    out[8:first] = starts.astype("<u4").view(np.uint8)
+    heads = np.column_stack([least.astype("<u4").view(np.uint8).reshape(-1, 4), width, count, high])
+    out[starts[:, None] + np.arange(7)] = heads
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((table[rows][:, :, None] >> np.arange(w)) & 1).astype(np.uint8)
-        lines = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-        for row, line in zip(rows.tolist(), lines, strict=True):
-            packed[row] = line.tobytes()
-    out, starts, at = [], [], 8 + 4 * blocks
-    for i in range(blocks):
-        high = int(top[i] - width[i] + 7) // 8
-        where = np.flatnonzero(outlier[i])
-        tail = outlier[i][where].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :high].tobytes()
-        block = struct.pack("<IBBB", int(least[i]), int(width[i]), len(where), high) + packed[i] + where.astype(np.uint8).tobytes() + tail
-        starts.append(at)
-        out.append(block)
-        at += len(block)
-    return struct.pack("<II", n, blocks) + np.array(starts, "<u4").tobytes() + b"".join(out)
+        out[(starts[rows] + 7)[:, None] + np.arange(BLOCK // 8 * w)] = _low_bits(table[rows], w)
+    order = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    base = starts[row] + 7 + BLOCK // 8 * width[row]
+    out[base + order] = column
+    for byte in range(4):
+        has = high[row] > byte
+        out[(base + count[row] + order * high[row] + byte)[has]] = (outlier[row, column][has] >> (8 * byte)) & 255
+    return out.tobytes()
 
 
 def unpack(payload: bytes) -> np.ndarray:
     """The ids of a payload, as little-endian unsigned 32-bit integers."""
     n, blocks = struct.unpack_from("<II", payload)
-    starts = np.frombuffer(payload, "<u4", blocks, 8).astype(np.int64)
-    raw = np.frombuffer(payload, np.uint8)
-    if not blocks:
+    if not n:
         return np.zeros(0, "<u4")
+    raw = np.frombuffer(payload, np.uint8)
+    starts = np.frombuffer(payload, "<u4", blocks, 8).astype(np.int64)
     heads = raw[starts[:, None] + np.arange(7)]
-    least = np.ascontiguousarray(heads[:, :4]).view("<u4").ravel().astype(np.int64)
-    widths, counts, highs = (heads[:, k].astype(np.int64) for k in (4, 5, 6))
-    table = np.zeros((blocks, BLOCK), np.int64)
-    for w in np.unique(widths[widths > 0]):
-        rows = np.flatnonzero(widths == w)
+    least = np.ascontiguousarray(heads[:, :4]).view("<u4").ravel()
+    width, count, high = (heads[:, k].astype(np.int64) for k in (4, 5, 6))
+    table = np.zeros((blocks, BLOCK), "<u4")
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
         lines = raw[(starts[rows] + 7)[:, None] + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        table[rows] = bits @ (np.int64(1) << np.arange(w, dtype=np.int64))
-    for i in np.flatnonzero(counts).tolist():
-        at, k, high = int(starts[i] + 7 + BLOCK // 8 * widths[i]), int(counts[i]), int(highs[i])
-        where = raw[at : at + k]
-        tail = np.zeros((k, 4), np.uint8)
-        tail[:, :high] = raw[at + k : at + k + k * high].reshape(k, high)
-        table[i, where] += tail.view("<u4").ravel().astype(np.int64) << widths[i]
-    return (table + least[:, None]).ravel()[:n].astype("<u4")
+        bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
+        bits[:, :, :w] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        table[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    row = np.repeat(np.arange(blocks), count)
+    order = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    base = starts[row] + 7 + BLOCK // 8 * width[row]
+    extra = np.zeros(len(row), np.uint64)
+    for byte in range(4):
+        has = high[row] > byte
+        extra[has] |= raw[(base + count[row] + order * high[row] + byte)[has]].astype(np.uint64) << np.uint64(8 * byte)
+    table[row, raw[base + order]] += (extra << width[row].astype(np.uint64)).astype("<u4")
+    return (table + least[:, None]).ravel()[:n]
 
 
 def write_token_file(docs: DataFrame, path: str, vocabulary: str) -> None:

@@ -10,6 +10,8 @@ import numpy as np
 
 END_ID = 0
 MEMO_LIMIT = 3 << 18
+#: Marks the first chunk of a text; as white space it begins no other.
+FIRST = "\r"
 #: White space other than the space and the line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -44,17 +46,21 @@ class ChunkEncoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if runs_of_space(text):
             return self.whole([text])[0]
-        first, *chunks = text.replace("\n", " \n").split(" ")
-        try:
-            rest = b"".join(map(self.memo.__getitem__, chunks))
-        except KeyError:
-            missing = list({c for c in chunks if c not in self.memo})
+        chunks = (FIRST + text).replace("\n", " \n").split(" ")
+        missing = set(chunks).difference(self.memo)
+        if missing:
             if len(self.memo) + len(missing) > MEMO_LIMIT:
                 self.memo.clear()
-                missing = list(set(chunks))
-            self.memo.update(zip(missing, self.whole([c if c[:1] == "\n" else f" {c}" for c in missing]), strict=True))
-            rest = b"".join(map(self.memo.__getitem__, chunks))
-        return (self.whole([first])[0] if first else b"") + rest
+                missing = set(chunks)
+            self.memo.update(zip(missing, self.whole([self.source(c) for c in missing]), strict=True))
+        return b"".join(map(self.memo.__getitem__, chunks))
+
+    @staticmethod
+    def source(chunk: str) -> str:
+        """The characters that a chunk stands for: its space was cut off unless it begins otherwise."""
+        if chunk[:1] == FIRST:
+            return chunk[1:]
+        return chunk if chunk[:1] == "\n" else f" {chunk}"
 
 
 _encoders: dict[str, ChunkEncoder] = {}
