@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import compliance_queries, matching_queries
+from . import compliance_queries, matching_queries, resolve_queries
 
-MODULES = (matching_queries, compliance_queries)
+MODULES = (matching_queries, compliance_queries, resolve_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
