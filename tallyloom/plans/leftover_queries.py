@@ -57,10 +57,16 @@ def shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unused_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges that no line fits."""
-    options, unique, edges = _pools(spark, sf_dir)
-    unused = unique.where("role = 'charge'").join(edges, m.COMPONENT_KEYS, "left_anti")
-    return lo.unused_reasons(unused, options)
+    """All evidence as if unused, some with another day, amount, merchant or currency than its line."""
+    options, unique, _ = _pools(spark, sf_dir)
+    key = F.col("component_key")
+    moved = unique.select(
+        "statement_id", "component_key", F.when(key % 11 == 0, F.col("merchant_key") + 100_000).otherwise(F.col("merchant_key")).alias("merchant_key"),
+        F.when(key % 13 == 0, "EUR").otherwise(F.col("currency")).alias("currency"),
+        (F.col("signed_amount") + F.when(key % 3 == 0, 10).otherwise(0)).cast("decimal(14,2)").alias("signed_amount"),
+        F.expr("date_add(event_date, CAST(component_key % 5 AS INT))").alias("event_date"),
+    )
+    return lo.unused_reasons(moved, options)
 
 
 def review_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +204,10 @@ ORACLE_SQL = {
         LEFT JOIN charges AS c ON c.statement_id = o.statement_id AND c.merchant_key = o.merchant_key AND c.currency = o.currency AND c.amount = o.amount
         WHERE o.pos = 0""",
     "unused_reasons": POOLS + f"""
-        , unused AS (SELECT * FROM uniq AS u WHERE role = 'charge' AND {NO_EDGE.format('u', 'component_key')}
+        , unused AS (
+            SELECT statement_id, component_key, CASE WHEN component_key % 11 = 0 THEN merchant_key + 100000 ELSE merchant_key END AS merchant_key,
+                   CASE WHEN component_key % 13 = 0 THEN 'EUR' ELSE currency END AS currency, signed_amount + CASE WHEN component_key % 3 = 0 THEN 10 ELSE 0 END AS signed_amount,
+                   event_date + CAST(component_key % 5 AS INTEGER) AS event_date FROM uniq
         ), near AS (
             SELECT u.statement_id, u.component_key, o.line_key, abs(date_diff('day', u.event_date, o.line_date)) AS days,
                    CASE WHEN o.currency = u.currency AND o.amount = u.signed_amount THEN 0 WHEN o.currency = u.currency THEN 1 WHEN o.line_key IS NOT NULL THEN 2 ELSE 3 END AS class
