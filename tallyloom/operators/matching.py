@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+
 TOLERANCE_DAYS = 1
 COMPONENT_KEYS = ["statement_id", "component_key"]
 LINE_KEYS = ["statement_id", "line_key"]
@@ -263,20 +265,23 @@ def reconcile(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row per matched line: match_type, basis, component_keys (charge first).
 
     Direct matches go first, then refunds that name their charge, then near refunds; each step sees
-    only lines and evidence that those before have left.
+    only lines and evidence that those before have left. Tables that later steps read are written.
     """
-    options, unique = amount_options(lines), unique_evidence(evidence)
+    options, unique = staged(amount_options(lines), "options"), staged(unique_evidence(evidence), "evidence")
     columns = ["statement_id", "merchant_key", "line_key", "match_type", "basis", "component_keys"]
-    found = direct_assign(direct_edges(options, unique)).select(
-        "statement_id", "merchant_key", "line_key", match_type(F.col("document_kind")).alias("match_type"), "basis", F.array("component_key").alias("component_keys")
+    direct = direct_assign(staged(direct_edges(options, unique), "edges"))
+    found = staged(
+        direct.select("statement_id", "merchant_key", "line_key", match_type(F.col("document_kind")).alias("match_type"), "basis", F.array("component_key").alias("component_keys")),
+        "direct",
     )
     for linked, name in ((True, "linked_refund_net"), (False, "merchant_refund_net")):
         used = found.select("statement_id", F.explode("component_keys").alias("component_key"))
         left = options.join(found.select(*LINE_KEYS), LINE_KEYS, "left_anti")
-        nets = refund_net_assign(refund_net_candidates(left, _without(unique, used), linked))
-        found = found.unionByName(
-            nets.select("statement_id", "merchant_key", "line_key", F.lit(name).alias("match_type"), "basis", F.concat(F.array("charge_key"), "refund_keys").alias("component_keys"))
+        candidates = refund_net_candidates(staged(left, "left"), staged(_without(unique, used), "spare"), linked)
+        nets = refund_net_assign(candidates).select(
+            "statement_id", "merchant_key", "line_key", F.lit(name).alias("match_type"), "basis", F.concat(F.array("charge_key"), "refund_keys").alias("component_keys")
         )
+        found = found.unionByName(staged(nets, name))
     return found.select(columns)
 
 
