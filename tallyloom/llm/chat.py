@@ -2,7 +2,7 @@
 
 Messages, calls and results are rows, and stay rows: a conversation is never gathered in one task.
 Positions are sort keys: (level, turn, kind), where the level is the longest chain of links before a
-row, found by peeling the rows whose predecessors are all placed.
+row, found by doubling pointers along chains, and by peeling where a call has several predecessors.
 """
 
 from __future__ import annotations
@@ -48,17 +48,27 @@ def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.array_join(F.array_compact(F.array(*problems)), ",")
 
 
-def call_depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """conv_id, call_id, depth of each call: 0 without needs, else one more than the deepest need.
+def _chain_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Depths where each call has one need at most: pointers to needs double their reach each round, so
+    a chain of n calls takes log n rounds. Pointers that no round shortens any more lie on cycles."""
+    at = nodes.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "need", F.when(F.col("need").isNull(), 0).otherwise(1).alias("depth"))
+    at = materialize(at, "chat-pointers")
+    waiting = at.where("need IS NOT NULL").count()
+    while waiting:
+        ahead = at.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("depth").alias("more"))
+        step = at.join(ahead, ["conv_id", "need"], "left")
+        depth = F.col("depth") + F.coalesce("more", F.lit(0))
+        at = materialize(step.select("conv_id", "call_id", F.col("next").alias("need"), depth.alias("depth")), "chat-pointers")
+        left = at.where("need IS NOT NULL").count()
+        if left == waiting:
+            break
+        waiting = left
+    return at.where("need IS NULL").select("conv_id", "call_id", "depth")
 
-    needs has conv_id, call_id, need. Needs of no known call are left out. Calls on a cycle, or behind
-    one, have no depth and are not returned.
-    """
-    nodes = calls.select("conv_id", "call_id").distinct()
-    known = nodes.withColumnRenamed("call_id", "need")
-    edges = materialize(needs.join(known, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"]).distinct(), "chat-needs")
-    depth, placed = 0, []
-    open_nodes = materialize(nodes, "chat-calls")
+
+def _peeled_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Depths of any acyclic needs: each round places the calls whose needs are all placed."""
+    depth, placed, open_nodes = 0, [], nodes
     while not open_nodes.isEmpty():
         waiting = edges.select("conv_id", "call_id").distinct()
         ready = materialize(open_nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)), "chat-ready")
@@ -75,6 +85,23 @@ def call_depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return out
 
 
+def call_depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """conv_id, call_id, depth of each call: 0 without needs, else one more than the deepest need.
+
+    needs has conv_id, call_id, need. Needs of no known call are left out. Calls on a cycle, or behind
+    one, have no depth and are not returned. Only conversations with a call of several needs are peeled.
+    """
+    nodes = materialize(calls.select("conv_id", "call_id").distinct(), "chat-calls")
+    known = nodes.withColumnRenamed("call_id", "need")
+    edges = materialize(needs.join(known, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"]).select("conv_id", "call_id", "need").distinct(), "chat-needs")
+    forked = materialize(edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id").distinct(), "chat-forked")
+    if forked.isEmpty():
+        return _chain_depths(nodes, edges)
+    plain = [df.join(forked, "conv_id", "left_anti") for df in (nodes, edges)]
+    rest = [materialize(df.join(forked, "conv_id", "left_semi"), "chat-forks") for df in (nodes, edges)]
+    return _chain_depths(*plain).unionByName(_peeled_depths(*rest))
+
+
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Schemas) -> DataFrame:
     """One row per message, call and result: conv_id, level, turn, kind, call_id, status, errors, json.
 
