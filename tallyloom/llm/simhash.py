@@ -25,6 +25,7 @@ BITS = 64
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 1 << 15
+HOT_PARTS = 1000
 
 
 def fingerprint(text: str, ngram: int) -> int:
@@ -140,12 +141,18 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, distance: int = 2, segments
     gives an empty result. Other columns are not read.
     """
     prints = materialize(fingerprints(docs, ngram), "simhash-prints")
-    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-firsts")
     roots = connected_components(hamming_links(firsts, distance, segments, crowd))
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = rooted.join(least, "root").select("fp", "component_id")
-    names = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(names, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    names = firsts.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    names = materialize(names, "simhash-names")
+    # fingerprints of over 1 / HOT_PARTS of the rows are at most HOT_PARTS: their rows are named where they lie
+    many = F.col("n") * HOT_PARTS > prints.count()
+    hot = names.where(many).select("fp", F.struct("component_id").alias("hot"))
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    named = marked.where("hot IS NOT NULL").select("doc_id", "fp", "hot.component_id").unionByName(
+        marked.where("hot IS NULL").join(names.where(~many), "fp").select("doc_id", "fp", "component_id")
     )
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
