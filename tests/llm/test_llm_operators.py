@@ -152,6 +152,29 @@ def test_near_copies_have_the_similarity(spark, empty):
     assert near_copies.near_copy_groups(empty).count() == 0
 
 
+def similar_groups(texts):
+    """doc: smallest doc of its group, over all pairs of the similarity."""
+    sets = [near_copies.shingles(plain(t), 5) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    ends = {x for p in links for x in p}
+    return {i: r for i, r in enumerate(components_of(len(texts), links)) if i in ends}
+
+
+def test_near_copies_in_a_crowd_are_all_found(spark):
+    rng = random.Random(21)
+    passage, texts = [f"p{i}" for i in range(75)], []
+    for i in range(150):  # all share a passage; each has one twin that is just similar enough
+        own = [f"w{rng.randrange(10**6)}" for _ in range(29)]
+        twin = list(own)
+        twin[12] = twin[20] = "changed"
+        texts += [" ".join(passage + own), " ".join(passage + twin)]
+    rng.shuffle(texts)
+    want = similar_groups(texts)
+    assert len(want) == 300 and len(set(want.values())) == 150
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
+
+
 # tokens, files, packing
 
 
