@@ -175,6 +175,18 @@ def test_near_copies_in_a_crowd_are_all_found(spark):
     assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
 
 
+def test_near_copies_of_few_shingles_are_all_found(spark):
+    texts, at = [], 0
+    for n, more in [(8, 1)] * 100 + [(16, 3)] * 50 + [(10, 1)] * 50:  # 4 against 5 shingles, 12 against 15, 6 against 7
+        words = [f"w{at + i}" for i in range(n + more)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+        at += n + more
+    want = similar_groups(texts)
+    assert len(want) == 400 and len(set(want.values())) == 200
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
+
+
 # tokens, files, packing
 
 
