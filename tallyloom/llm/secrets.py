@@ -56,18 +56,22 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _near(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
-    """Rows of parts with one of others at most scope characters away in the same text."""
-    cell = F.floor(F.col("start") / scope)
-    left = parts.withColumn("cell", cell)
+    """Rows of parts with one of others at most scope characters away in the same text.
+
+    A part stands under each cell that it covers, the others under each within their scope, so that two
+    that are near have a common cell.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    left = parts.withColumn("cell", cells(F.col("start"), F.col("end")))
     right = others.select(
         F.col("row_no").alias("o_row"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
-        F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("end") + scope) / scope))).alias("o_cell"),
+        cells(F.col("start") - scope, F.col("end") + scope).alias("o_cell"),
     )
     met = (
         (F.col("row_no") == F.col("o_row")) & (F.col("cell") == F.col("o_cell"))
         & (F.col("start") <= F.col("o_end") + scope) & (F.col("o_start") <= F.col("end") + scope)
     )
-    return left.join(right, met, "left_semi").drop("cell")
+    return left.join(right, met, "left_semi").drop("cell").distinct()
 
 
 def link_credentials(spans: DataFrame, scope: int = SCOPE) -> DataFrame:

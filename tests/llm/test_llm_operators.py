@@ -303,6 +303,24 @@ def test_secrets_and_their_parts(spark, docs, empty):
     assert secrets.secret_report(docs).count() == len(rows()) and secrets.secret_report(empty).count() == 0
 
 
+def test_parts_link_at_every_offset_before_and_after(spark):
+    access, digits, texts, want = "AKIA" + "B" * 16, "0123456789abcdef0", [], []
+    weak = [KEY] + ["https://s3.example.com/" + "-" * n for n in (10, 300, 777, 1500)]
+    for part in weak:
+        for shift in range(0, 520, 40):
+            for gap in (1, 100, 240, 256, 257, 300):
+                for first, second in ((part, f"{access} {digits}"), (f"{digits} {access}", part)):
+                    at = shift if first is part else shift + len(first) + gap
+                    kind = "key" if part is KEY else "endpoint"
+                    texts.append(" " * shift + first + " " * gap + second)
+                    # the digits stand behind the identifier, and an endpoint needs both
+                    near = gap + (0 if kind == "key" else len(access) + 1) <= 256
+                    want.append(f"{kind}:{at}:{at + len(part)}" if near else "")
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("key", "endpoint"))] for r in secrets.secret_report(df).collect()}
+    assert got == {i: [w] if w else [] for i, w in enumerate(want)}
+
+
 # mixing
 
 
