@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused_name
 
 
 def sha256_digest(text: Column) -> Column:
@@ -111,16 +111,20 @@ def _by_content(rows: DataFrame, digest: Callable[[Column], Column], clash: Data
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without all but one row of each class of equal texts."""
-    kept = exact_classes(docs, **options).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
+    """The rows of docs, all columns, without all but one row of each class of equal texts.
+
+    Of equal texts the row of the largest doc_id stays, rows without doc_id last; of rows that repeat both, one stays. Null
+    texts count as empty. An empty table gives an empty result; columns may have any names.
+    """
+    ids, shas = unused_name(docs, "id"), unused_name(docs, "sha")
+    kept = exact_classes(docs, **options).where("kept").select(F.col("doc_id").alias(ids), F.col("text_sha256").alias(shas))
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    match = docs["doc_id"].eqNullSafe(F.col("_k_id")) & (sha == F.col("_k_sha"))
+    match = docs["doc_id"].eqNullSafe(F.col(ids)) & (sha == F.col(shas))
     marked = docs.join(kept, match, "left_semi")
-    ids = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    twice = ids.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_t_id"), F.col("sha").alias("_t_sha"))
+    named = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    twice = named.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(ids), F.col("sha").alias(shas))
     if not twice.limit(1).count():
         return marked
-    repeated = docs["doc_id"].eqNullSafe(F.col("_t_id")) & (sha == F.col("_t_sha"))
-    alone = marked.join(twice, repeated, "left_anti")
-    again = marked.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    alone = marked.join(twice, match, "left_anti")
+    again = marked.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"])
     return alone.unionByName(again)

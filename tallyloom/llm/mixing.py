@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused_name
 
 STEP_RATE = 16.0
 TERMS = 100
@@ -63,17 +63,16 @@ def mix_sources(docs: DataFrame, power: float = 0.5, weights: DataFrame | None =
     names = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
     rates = source_rates(docs, power, weights)
     steps = F.greatest(F.ceil(F.col("rate") / STEP_RATE), F.lit(1)).cast("int")
-    table = materialize(
-        rates.select(F.col("source").alias("_source"), steps.alias("_steps"), _distribution(F.col("rate") / steps).alias("_below")), "mix-rates"
-    )
+    own = [unused_name(docs, stem) for stem in ("source", "steps", "below")]
+    table = materialize(rates.select(*[c.alias(x) for c, x in zip((F.col("source"), steps, _distribution(F.col("rate") / steps)), own, strict=True)]), "mix-rates")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draws = F.transform(
-        F.sequence(F.lit(1), F.col("_steps")),
-        lambda j: F.size(F.filter("_below", lambda below: below <= uniform(name, j.cast("string"), seed))),
+        F.sequence(F.lit(1), F.col(own[1])),
+        lambda j: F.size(F.filter(own[2], lambda below: below <= uniform(name, j.cast("string"), seed))),
     )
     counted = (
         docs.select(*names)
-        .join(table, F.col("source").eqNullSafe(F.col("_source")))
+        .join(table, F.col("source").eqNullSafe(F.col(own[0])))
         .withColumn("copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b))
         .where("copies > 0")
         .select(*names, "copies")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,12 @@ def fingerprint(text: str, ngram: int) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < ngram else map(b" ".join, zip(*(words[i:] for i in range(ngram)), strict=False))
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), np.uint8).reshape(-1, 8)
+    return fingerprint_of(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8"))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these unsigned 64-bit hashes."""
+    digests = np.ascontiguousarray(hashes, ">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(digests), BLOCK):
         ones += np.unpackbits(digests[at : at + BLOCK], axis=1).sum(axis=0, dtype=np.int32)
@@ -44,12 +49,12 @@ def fingerprint(text: str, ngram: int) -> int:
 def fingerprints(docs: DataFrame, ngram: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for each row; null texts count as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = np.fromiter((fingerprint(t, ngram) for t in part["body"]), np.uint64, len(part))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": found.view(np.int64)})
+            found = np.array([fingerprint(t, ngram) for t in part.column("body").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_or_empty().alias("body")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -95,7 +100,8 @@ def hamming_links(fps: DataFrame, distance: int = 2, segments: int = 3, crowd: i
     Keys that up to `crowd` fingerprints share give pairs. A key that more share gives no pairs: its
     fingerprints meet at the fingerprints one bit away from them. Two fingerprints differ in at most
     two bits exactly if they have such a meeting point in common, and at most 65 can meet in one, so
-    linking those to the smallest of them loses no component.
+    linking those to the smallest of them loses no component. At distance one
+    the meeting point must itself be one of the two, so only such points link.
     """
     if not 0 <= distance <= 2 or segments <= distance:
         raise ValueError("distance must be 0, 1 or 2, and below the number of segments")
@@ -129,7 +135,8 @@ def hamming_links(fps: DataFrame, distance: int = 2, segments: int = 3, crowd: i
         "fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(f))) for f in flips])).alias("point")
     )
     meetings = points.groupBy("point").agg(F.collect_list("fp").alias("all")).where("size(all) > 1")
-    stars = meetings.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where(F.col("a") < F.col("b"))
+    middle = F.array_min("all") if distance == 2 else F.when(F.array_contains("all", F.col("point")), F.col("point"))
+    stars = meetings.select(middle.alias("m"), F.explode("all").alias("o")).where("m <> o").select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"))
     return pairs.unionByName(stars.where(F.bit_count(x) <= distance)).distinct()
 
 

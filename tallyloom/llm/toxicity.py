@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,14 +166,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     voters, weights, intercept = train(docs, labels, sample_rows)
     names = voters.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters(names)
         for batch in batches:
-            odds = [float(features(own.counts(t)) @ weights) + intercept for t in batch["body"]]
+            odds = np.array([float(features(own.counts(t)) @ weights) + intercept for t in batch.column("body").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInPandas(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(run, "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -182,14 +183,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below 0.5; one pass over the texts after training."""
+    """The rows of docs, all columns, whose text scores below 0.5; one pass over the texts after training.
+
+    Rows pass as they are, repeated ones and those without doc_id too; a null text is scored as empty.
+    An empty table gives an empty result, and columns may have any names.
+    """
     voters, weights, intercept = train(docs, labels, sample_rows)
     names = voters.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters(names)
         for batch in batches:
-            odds = np.array([float(features(own.counts(t or "")) @ weights) + intercept for t in batch["text"]])
-            yield batch[odds < 0]
+            odds = np.array([float(features(own.counts(t or "")) @ weights) + intercept for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(odds < 0, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
