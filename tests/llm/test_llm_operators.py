@@ -8,9 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyloom.llm import ann, chat, components, exact_dedup, mixing, near_copies, packing, secrets, simhash, token_files, tokens, toxicity, warc
 
@@ -108,15 +110,15 @@ def test_simhash_components(docs, empty, crowd):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 4])
-def test_links_of_crowded_fingerprints(spark, crowd):
+@pytest.mark.parametrize(("crowd", "distance"), [(1, 2), (4, 2), (1, 1), (1000, 1), (1, 0)])
+def test_links_of_crowded_fingerprints(spark, crowd, distance):
     rng = random.Random(2)
     seeds = [rng.getrandbits(64) for _ in range(6)]
     prints = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for s in seeds for _ in range(40)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.hamming_links(spark.createDataFrame([(p,) for p in signed], "fp long"), crowd=crowd)
+    edges = simhash.hamming_links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance=distance, crowd=crowd)
     got = components.connected_components(edges).collect()
-    links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= distance]
     root = components_of(len(prints), links)
     found = {r.node: r.root for r in got}
     groups = lambda of: sorted(sorted(i for i in range(len(prints)) if of[i] == x) for x in set(of))
@@ -187,13 +189,66 @@ def test_near_copies_of_few_shingles_are_all_found(spark):
     assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
 
 
+def test_near_copies_of_a_large_group_are_all_found(spark):
+    rng = random.Random(31)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for _ in range(260):  # copies of one text, from equal to far
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(7)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [texts[5], texts[6]]
+    want = similar_groups(texts)
+    assert 100 < len(want) < 262
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
+
+
+def test_bounds_of_sketches_hold():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        u = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000)), dtype=np.uint64))
+        v = np.unique(np.concatenate([u[rng.random(len(u)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 300)), dtype=np.uint64)]))
+        cells = int(np.bitwise_count((near_copies.parity_sketch(u) ^ near_copies.parity_sketch(v)).view(np.uint64)).sum())
+        assert cells <= len(np.setxor1d(u, v))
+
+
 # tokens, files, packing
 
 
-def test_chunks_encode_as_whole_texts():
-    e = tokens.ChunkEncoder(VOCABULARY)
-    for t in ["", " ", "a", " a b", "a  b", "a\n\nb", "it's 5\tx", "x ", "x\n", "\nx y", "<|endoftext|> é𝒜 ", "a b c", "a\rb c", "\r x", LONG[:5000]]:
-        assert e.encode(t) == e.whole([t])[0]
+PLAIN = Tokenizer.from_file(VOCABULARY)
+
+
+def ids_of(text):
+    """By the library alone, of the whole text."""
+    return np.array(PLAIN.encode(plain(text), add_special_tokens=False).ids + [0], "<u4")
+
+
+def test_pieces_encode_as_whole_texts():
+    rng = random.Random(6)
+    signs = list("ab Zé,.;:!?'\n0129 -_()ßπд中文\t\x01\x02\x1c’×÷ªʰ") + ["'s", "'ll", "<|endoftext|>", " the", "\n\n", "  ", "e\u0301", "\u2028", "😀"]
+    texts = ["".join(rng.choice(signs[: rng.choice([14, len(signs)])]) for _ in range(rng.randrange(60))) for _ in range(6000)]
+    texts += ["", None, " ", "\n", "a ", "a\n", " a", "\na", "<|endoftext|>", "a<|endoftext|>b", LONG, LONG + " "]
+    encoder = tokens.ChunkEncoder(VOCABULARY)
+    for part in (texts[:3000], texts[3000:], texts[:10], []):
+        ids, lengths = encoder.encode(pa.array(part, pa.string()))
+        want = [ids_of(t) for t in part]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w.tolist()]
+
+
+def test_the_memory_of_pieces_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 50)
+    encoder = tokens.ChunkEncoder(VOCABULARY)
+    for k in range(5):
+        text = " ".join(f"word{k * 20 + i}" for i in range(30))
+        assert encoder.encode(pa.array([text]))[0].tolist() == ids_of(text).tolist()
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = tokens.public_vocabulary("word_bpe_49k.json")
+    ids, lengths = tokens.ChunkEncoder(path).encode(pa.array(["Some words, here.", "", None]))
+    want = Tokenizer.from_file(path).encode("Some words, here.", add_special_tokens=False).ids
+    assert ids.tolist() == [*want, 0, 0, 0] and lengths.tolist() == [len(want) + 1, 1, 1]
 
 
 def test_blocks_round_trip():
@@ -205,10 +260,6 @@ def test_blocks_round_trip():
             assert (token_files.unpack(token_files.pack(ids)) == ids).all()
 
 
-def ids_of(text):
-    return np.append(np.frombuffer(tokens.encoder(VOCABULARY).whole([plain(text)])[0], "<u4"), np.uint32(0)).astype("<u4")
-
-
 def test_token_file_holds_every_text(docs, empty):
     got = token_files.token_file_digest(docs, VOCABULARY).collect()
     want = Counter((d, len(i), zlib.crc32(i.tobytes())) for d, i in ((d, ids_of(t)) for d, t, *_ in rows()))
@@ -228,13 +279,17 @@ def test_packing_places_every_piece_once(docs, empty, group):
     want = Counter()
     for i in ids:
         at = 0
-        for k, n in enumerate(packing.cut(len(i), 64)):
+        sizes = [len(i)] if len(i) <= 64 else [len(i) % 64] * (len(i) % 64 > 0) + [64] * (len(i) // 64)
+        for k, n in enumerate(sizes):
             want[(k, at, n, zlib.crc32(i[at : at + n].tobytes()))] += 1
             at += n
     assert Counter(zip(got.piece, got.start, got.length, got.ids_crc32, strict=True)) == want
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert part.length.sum() <= 64 and part.offset.tolist() == np.cumsum([0, *part.length])[:-1].tolist()
     assert got.sequence_id.nunique() <= packing.lower_bound(got.length.to_numpy(), 64) + 3
+    lots = got.groupby("lot")
+    assert (lots.sequence_id.nunique() == lots.bins.first()).all() and (lots.bins.nunique() == 1).all()
+    assert all(part.bound.iloc[0] == packing.lower_bound(part.length.to_numpy(), 64) <= part.bins.iloc[0] for _, part in lots)
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
@@ -249,6 +304,24 @@ def test_bounds_are_below_best_fit():
     assert packing.lower_bound(np.array([34] * 6), 100) == 3
 
 
+# ids
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_null_ids_stay_as_they_are(spark):
+    data = [(BIG, "one text"), (None, "another"), (BIG + 2, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1).withColumns({c: F.lit(1) for c in ("_own_0", "_id_0", "_source_0", "_below", "_gone", "source")})
+    want = {BIG, BIG + 2, None}
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (
+        packing.pack_documents(df, VOCABULARY), token_files.token_file_digest(df, VOCABULARY), simhash.near_duplicates(df), toxicity.toxicity_scores(df, labels), toxicity.keep_clean(df, labels),
+        near_copies.drop_near_copies(df), exact_dedup.drop_exact_copies(df), exact_dedup.exact_classes(df), secrets.secret_report(df),
+    ):
+        assert {r.doc_id for r in out.collect()} == want
+    assert {r.doc_id for r in mixing.mix_sources(df).collect()} <= want
+
+
 # toxicity
 
 
