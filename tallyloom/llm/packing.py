@@ -12,41 +12,47 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .tokens import document_ids
+from .tokens import encoded
 
 CAPACITY = 2048
 GROUP_PIECES = 1 << 15
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, bins int, bound int, released boolean"
+PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, lot long, bins int, bound int, released boolean"
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of a document of n ids: only the first may be shorter than capacity."""
-    if n <= capacity:
-        return [n]
-    return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
+def cut_all(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start in the document, length) of the pieces of documents of these lengths: only
+    the first piece of a longer document may be shorter than capacity."""
+    counts = np.maximum(1, -(-lengths // capacity))
+    doc = np.repeat(np.arange(len(lengths)), counts)
+    piece = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+    first = lengths - (counts - 1) * capacity
+    start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+    return doc, piece, start, np.where(piece == 0, first[doc], capacity)
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each row's ids (with the end id); a null text counts as empty, of one id."""
+    """The pieces of each row's ids (with the end id); a null text counts as empty, of one id. doc_id
+    passes as it is."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch["doc_id"], batch["body"], strict=True):
-                ids, at = document_ids(vocabulary, text), 0
-                for k, n in enumerate(cut(len(ids), capacity)):
-                    rows.append((None if pd.isna(name) else int(name), k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
-                    at += n
-            found = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield found.astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, lengths in encoded(batches, vocabulary):
+            doc, piece, start, length = cut_all(lengths, capacity)
+            begin = (np.cumsum(lengths) - lengths)[doc] + start
+            sums = [zlib.crc32(ids[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            names = part.column("doc_id").take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInPandas(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -104,18 +110,23 @@ def _released(free: list[int], bound: int) -> np.ndarray:
 
 
 def _pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = rows["length"].to_numpy(np.int64)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("deal").take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]))
+        lengths = rows.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(lengths, capacity)
-        marks = _released(free, bound)
-        return rows.drop(columns="deal").assign(
-            sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offsets, bins=len(free), bound=bound, released=marks[bins]
-        ).astype({"doc_id": "Int64"})
+        marks = _released(free, lower_bound(lengths, capacity))
+        out = marks[bins]
+        count, bound = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
+        for part in (out, ~out):
+            count[part], bound[part] = len(np.unique(bins[part])), lower_bound(lengths[part], capacity)
+        lot = (turn << 56) + (int(key[0].as_py()) << 24)
+        columns = (lot + bins, offsets, (lot >> 23) + out, count, bound, out)
+        for name, column in zip(("sequence_id", "offset", "lot", "bins", "bound", "released"), columns, strict=True):
+            rows = rows.append_column(name, pa.array(column))
+        return rows
 
     dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() % groups).alias("deal"))
-    return dealt.groupBy("deal").applyInPandas(run, PLACED_SCHEMA)
+    return dealt.groupBy("deal").applyInArrow(run, PLACED_SCHEMA)
 
 
 def _bins(placed: DataFrame) -> int:
@@ -123,24 +134,28 @@ def _bins(placed: DataFrame) -> int:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Places every piece: the piece's columns, sequence_id, offset, and its partition's bins and bound.
+    """Places every piece: the piece's columns, sequence_id, offset, lot, bins and bound.
 
-    Ties in length are placed by doc_id and piece; repeated rows are pieces of their own; an empty
-    table gives an empty result.
+    A lot is a set of bins that left the exchange together; bins is their final number and bound what
+    any packing of the lot's pieces needs, so the sum of bins over lots is the number of sequences and
+    a lot with bins = bound is certified. Ties in length are placed by doc_id and piece; repeated rows
+    are pieces of their own; an empty table gives an empty result.
     """
     rows = pieces.count()
     groups = max(1, -(-rows // group_pieces))
-    placed = materialize(_pack_groups(pieces, groups, 0, capacity), "pack")
-    done, turn = [placed.where("NOT released")], 0
-    at = placed.where("released")
-    while groups > 1:
+    at, turn, done = materialize(_pack_groups(pieces, groups, 0, capacity), "pack"), 0, []
+    while True:
+        gap = at.where("bins > bound").limit(1).count() > 0
+        done.append(at.where("NOT released"))
+        at = at.where("released")
+        if groups == 1 and (turn or not gap):
+            break
         turn += 1
         before, groups = _bins(at), max(1, -(-at.count() // group_pieces))
         again = materialize(_pack_groups(at, groups, turn, capacity), "pack")
         if _bins(again) >= before:
             break
-        done.append(again.where("NOT released"))
-        at = again.where("released")
+        at = again
     done.append(at)
     out = done[0]
     for part in done[1:]:
