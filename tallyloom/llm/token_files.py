@@ -17,36 +17,73 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, text_or_empty
-from .tokens import document_ids
+from .tokens import encoded
 
 BLOCK = 128
 PERCENTILES = (50, 75, 85, 90, 95, 98, 100)
-FRAME_IDS = 1 << 15
+FRAME_IDS = 1 << 17
 FRAME_SCHEMA = "part int, frame int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+FRAME_TYPES = pa.schema(
+    [("part", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]
+)
+
+
+#: Bits of each number below 2^16.
+BIT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _low_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of unsigned 32-bit values as rows of bytes, width bits for each, low bit first."""
-    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(*values.shape, 4), axis=2, bitorder="little")
-    return np.packbits(bits[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of BLOCK unsigned 32-bit values as rows of bytes, width bits for each, low bit first."""
+    if width > 16:
+        bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(*values.shape, 4), axis=2, count=width, bitorder="little")
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    # eight values take width bytes: two halves of four values, each in one 64-bit word
+    w = np.uint64(width)
+    four = (values.astype("<u8") & np.uint64((1 << width) - 1)).reshape(len(values), -1, 2, 4)
+    half = four[..., 0] | four[..., 1] << w | four[..., 2] << (w + w) | four[..., 3] << (w + w + w)
+    if width < 16:
+        high = half[..., 1]
+        half = np.stack([half[..., 0] | high << (4 * w), high >> (64 - 4 * w)], axis=-1)
+    return np.ascontiguousarray(half, "<u8").view(np.uint8).reshape(len(values), -1, 16)[:, :, :width].reshape(len(values), -1)
+
+
+def _from_bits(lines: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of _low_bits."""
+    if width > 16:
+        bits = np.zeros((len(lines), BLOCK, 32), np.uint8)
+        bits[:, :, :width] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(lines), BLOCK, width)
+        return np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    w, raw = np.uint64(width), np.zeros((len(lines), BLOCK // 8, 16), np.uint8)
+    raw[:, :, :width] = lines.reshape(len(lines), -1, width)
+    half = raw.view("<u8")
+    if width < 16:
+        half = np.stack([half[..., 0], half[..., 0] >> (4 * w) | half[..., 1] << (64 - 4 * w)], axis=-1)
+    out = np.empty((*half.shape, 4), "<u4")
+    for k in range(4):
+        out[..., k] = half >> (k * w) & np.uint64((1 << width) - 1)
+    return out.reshape(len(lines), BLOCK)
 
 
 def _widths(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(width, most): the bits of each block's packed values, and those of its largest."""
-    needed = np.frexp(table.astype(np.float64))[1].astype(np.uint8)
-    ordered = np.sort(needed, axis=1)
-    most = ordered[:, -1].astype(np.int64)
+    needed = BIT_LENGTHS[table & 0xFFFF]
+    if (table >> 16).any():
+        needed = np.where(table >> 16, BIT_LENGTHS[table >> 16] + 16, needed)
+    blocks = len(table)
+    at = needed + (np.arange(blocks, dtype=np.int32) * 33)[:, None]
+    below = np.cumsum(np.bincount(at.ravel(), minlength=33 * blocks).reshape(blocks, 33), axis=1)
+    most = (below < BLOCK).sum(axis=1)
     width, least = most, most * BLOCK
     for p in PERCENTILES[:-1]:
-        at = ordered[:, p * BLOCK // 100 - 1].astype(np.int64)
-        cost = at * BLOCK + (needed > at[:, None]).sum(axis=1) * 8 * (1 + (most - at + 7) // 8)
-        width, least = np.where(cost < least, at, width), np.minimum(cost, least)
+        w = (below < p * BLOCK // 100).sum(axis=1)
+        cost = w * BLOCK + (BLOCK - below[np.arange(blocks), w]) * 8 * (1 + (most - w + 7) // 8)
+        width, least = np.where(cost < least, w, width), np.minimum(cost, least)
     return width, most
 
 
@@ -62,7 +99,8 @@ def pack(ids: np.ndarray) -> bytes:
     table = table - least[:, None]
     width, most = _widths(table)
     high = (most - width + 7) // 8
-    outlier = (table.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
+    shift = width[:, None].astype(np.uint32)
+    outlier = np.where(shift < 32, table >> np.minimum(shift, 31), 0).astype("<u4", copy=False)
     row, column = np.nonzero(outlier)
     count = np.bincount(row, minlength=blocks)
     sizes = 7 + BLOCK // 8 * width + count * (1 + high)
@@ -99,9 +137,7 @@ def unpack(payload: bytes) -> np.ndarray:
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         lines = raw[(starts[rows] + 7)[:, None] + np.arange(BLOCK // 8 * w)]
-        bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        bits[:, :, :w] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        table[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        table[rows] = _from_bits(lines, w)
     row = np.repeat(np.arange(blocks), count)
     order = np.arange(len(row)) - (np.cumsum(count) - count)[row]
     base = starts[row] + 7 + BLOCK // 8 * width[row]
@@ -117,33 +153,40 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str) -> None:
     """Writes the ids of every whole text, each with the end id, in ascending doc_id order.
 
     Null texts count as empty; rows without doc_id come first; rows of equal doc_id stand in the order
-    of their texts. An empty table gives an empty file. Other columns are not read.
+    of a hash of their texts, then of the texts, so that any number of them spreads over tasks. An empty
+    table gives an empty file. Other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, frame, start = TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[np.ndarray] = []
+        sizes: list[int] = []
         size = 0
 
-        def close() -> pd.DataFrame:
-            row = [part, frame, start, size, names, [len(x) for x in held], pack(np.concatenate(held))]
-            return pd.DataFrame([row], columns=["part", "frame", "start", "n_ids", "doc_ids", "lengths", "payload"])
-
-        for batch in batches:
-            for name, text in zip(batch["name"], batch["body"], strict=True):
-                names.append(None if pd.isna(name) else int(name))
-                held.append(document_ids(vocabulary, text))
-                size += len(held[-1])
+        def close() -> pa.RecordBatch:
+            row = {"part": part, "frame": frame, "start": start, "n_ids": size, "doc_ids": names, "lengths": sizes, "payload": pack(np.concatenate(held))}
+            return pa.RecordBatch.from_pylist([row], FRAME_TYPES)
+
+        for rows, ids, lengths in encoded(batches, vocabulary):
+            ends, at = np.cumsum(lengths), 0
+            all_names = rows.column("name").to_pylist()
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(ends), int(np.searchsorted(ends, before + FRAME_IDS - size)) + 1)
+                names, sizes = names + all_names[at:stop], sizes + lengths[at:stop].tolist()
+                held.append(ids[before : ends[stop - 1]])
+                size, at = size + len(held[-1]), stop
                 if size >= FRAME_IDS:
                     yield close()
-                    frame, start, names, held, size = frame + 1, start + size, [], [], 0
+                    frame, start, names, sizes, held, size = frame + 1, start + size, [], [], [], 0
         if held:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("name"), text_or_empty().alias("body"))
-    ordered = rows.repartitionByRange("name").sortWithinPartitions("name", "body")
-    ordered.mapInPandas(run, FRAME_SCHEMA).write.option("compression", "zstd").parquet(path)
+    body = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("name"), F.xxhash64(body).alias("mark"), body.alias("body"))
+    ordered = rows.repartitionByRange("name", "mark").sortWithinPartitions("name", "mark", "body").select("name", "body")
+    ordered.mapInArrow(run, FRAME_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -155,23 +198,19 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         offsets.append((row["part"], before))
         before += row["n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start, names, lengths, payload in batch.itertuples(index=False):
-                ids = unpack(payload)
-                ends = np.cumsum(lengths)
-                pieces = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths, strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(x) else int(x) for x in names], "Int64"),
-                        "part": part,
-                        "start": start + ends - np.asarray(lengths),
-                        "n_tokens": np.asarray(lengths, np.int64),
-                        "ids_crc32": [zlib.crc32(x.tobytes()) for x in pieces],
-                    }
+            for row in range(batch.num_rows):
+                part, start, names, lengths, payload = (batch.column(k)[row] for k in range(5))
+                ids, sizes = unpack(payload.as_buffer()), lengths.values.to_numpy()
+                begins = np.cumsum(sizes) - sizes
+                sums = [zlib.crc32(ids[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [names.values, pa.array(np.full(len(sizes), part.as_py(), np.int32)), pa.array(start.as_py() + begins), pa.array(sizes), pa.array(sums, pa.int64())],
+                    ["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                 )
 
-    found = frames.select("part", "start", "doc_ids", "lengths", "payload").mapInPandas(
+    found = frames.select("part", "start", "doc_ids", "lengths", "payload").mapInArrow(
         run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
     )
     before_part = spark.createDataFrame(offsets, "part int, ahead long")
