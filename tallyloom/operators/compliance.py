@@ -7,9 +7,11 @@ declarations: user_id, service_id, receipt_month. users: user_id, is_staff, is_a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exclusive import numbered_rows
+
 
 def general_users(users: DataFrame) -> DataFrame:
     return users.where("is_active AND NOT is_staff")
@@ -146,8 +148,8 @@ def reminder_outbox(candidates: DataFrame, log: DataFrame, kind: str) -> DataFra
 def statement_receipts(receipts: DataFrame, users: DataFrame) -> DataFrame:
     """Receipts that a statement month is matched with, in their order."""
     usable = receipts.where(available(F.col("file"), F.col("file_deleted"))).where("is_extra OR p_card_snapshot")
-    order = Window.partitionBy("receipt_month").orderBy(F.asc_nulls_last("issued_on"), "receipt_id")
-    return usable.join(users.where("NOT is_staff").select("user_id"), "user_id", "left_semi").withColumn("receipt_order", F.row_number().over(order))
+    own = usable.join(users.where("NOT is_staff").select("user_id"), "user_id", "left_semi")
+    return numbered_rows(own, ["receipt_month"], F.col("issued_on"), [F.col("receipt_id")], "receipt_order")
 
 
 def historical_receipts(receipts: DataFrame, users: DataFrame, months: DataFrame, back: int = 3) -> DataFrame:

@@ -9,14 +9,19 @@ related_transaction_id. Amounts are decimals and are compared exactly.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import staged
+from .exclusive import greedy_choice, numbered_rows
 
 TOLERANCE_DAYS = 1
+#: Receipt places of one bucket when evidence is numbered, and edges that one task solves.
+INDEX_BUCKET, BLOCK_EDGES = 4096, 20_000
 COMPONENT_KEYS = ["statement_id", "component_key"]
 LINE_KEYS = ["statement_id", "line_key"]
 
@@ -70,8 +75,10 @@ def dedup_evidence(evidence: DataFrame) -> DataFrame:
 
 def unique_evidence(evidence: DataFrame) -> DataFrame:
     """The kept components with component_index, their place in the statement."""
-    place = Window.partitionBy("statement_id").orderBy("receipt_order", "component_key")
-    return dedup_evidence(evidence).where("kept").drop("kept", "kept_key").withColumn("component_index", F.row_number().over(place) - 1)
+    kept = dedup_evidence(evidence).where("kept").drop("kept", "kept_key")
+    order = [F.asc_nulls_first("receipt_order"), F.col("component_key")]
+    placed = numbered_rows(kept, ["statement_id"], F.floor(F.coalesce("receipt_order", F.lit(-1)) / INDEX_BUCKET), order, "component_index")
+    return placed.withColumn("component_index", F.col("component_index") - 1)
 
 
 def direct_edges(options: DataFrame, unique: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
@@ -91,9 +98,10 @@ def direct_edges(options: DataFrame, unique: DataFrame, tolerance: int = TOLERAN
     cost = days * 1_000_000 + F.col("quality") * 10_000 + F.col("component_index")
     return (
         pairs.withColumn("cost", cost.cast("long"))
-        .groupBy("statement_id", "merchant_key", "line_key", "component_key")
+        .withColumn("days", days).groupBy("statement_id", "merchant_key", "line_key", "component_key")
         .agg(
-            F.min_by("basis", "pos").alias("basis"), F.min("cost").alias("cost"), F.min("line_date").alias("line_date"), F.min("event_date").alias("event_date"),
+            F.min_by("basis", "pos").alias("basis"), F.min("cost").alias("cost"), F.min("days").alias("days"), F.min("quality").alias("quality"),
+            F.min("line_date").alias("line_date"), F.min("event_date").alias("event_date"), F.min("currency").alias("currency"), F.min("amount").alias("amount"),
             F.min("sequence").alias("sequence"), F.min("component_index").alias("component_index"), F.min("document_kind").alias("document_kind"),
         )
     )
@@ -108,72 +116,115 @@ def uncontested(edges: DataFrame) -> DataFrame:
     return with_degrees(edges).where("line_degree = 1 AND piece_degree = 1").drop("line_degree", "piece_degree")
 
 
-def cheapest_assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest complete assignment, for rows no more than columns (Kuhn and
-    Munkres, by shortest augmenting paths over dual prices)."""
-    n, m = cost.shape
-    row_price, col_price = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, int)
-    for row in range(1, n + 1):
-        owner[0], at = row, 0
-        slack, came, seen = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[at]:
-            seen[at] = True
-            reduced = cost[owner[at] - 1] - row_price[owner[at]] - col_price[1:]
-            better = ~seen[1:] & (reduced < slack[1:])
-            slack[1:][better], came[1:][better] = reduced[better], at
-            open_slack = np.where(seen[1:], np.inf, slack[1:])
-            nearest = int(open_slack.argmin()) + 1
-            step = open_slack[nearest - 1]
-            row_price[owner[seen]] += step
-            col_price[seen] -= step
-            slack[~seen] -= step
-            at = nearest
-        while at:
-            owner[at], at = owner[came[at]], came[at]
-    found = np.full(n, -1)
-    for col in range(1, m + 1):
-        if owner[col]:
-            found[owner[col] - 1] = col - 1
-    return found
+def cheapest_assignment(rows: list[list[tuple[int, int]]], columns: int) -> list[int]:
+    """Column of each row, or -1, in an assignment of the most rows at least total cost.
+
+    rows lists each row's (column, cost) edges. Each row in turn takes the shortest augmenting path over
+    dual prices, along edges only; a column of its own, dearer than any set of edges, leaves it open.
+    """
+    dearest = 1 + sum(max((c for _, c in row), default=0) for row in rows)
+    edges = [[*row, (columns + i, dearest)] for i, row in enumerate(rows)]
+    owner: dict[int, int] = {}
+    choice = [-1] * len(rows)
+    row_price, col_price = [0] * len(rows), {}
+    for start in range(len(rows)):
+        best, came, done = {}, {}, {}
+        heap: list[tuple[int, int]] = []
+        at, reach = start, 0
+        while True:
+            for j, cost in edges[at]:
+                if j not in done:
+                    d = reach + cost - row_price[at] - col_price.get(j, 0)
+                    if j not in best or d < best[j]:
+                        best[j], came[j] = d, at
+                        heapq.heappush(heap, (d, j))
+            while True:
+                reach, end = heapq.heappop(heap)
+                if end not in done and best[end] == reach:
+                    break
+            done[end] = reach
+            if end not in owner:
+                break
+            at = owner[end]
+        row_price[start] += reach
+        for j, d in done.items():
+            col_price[j] = col_price.get(j, 0) + d - reach
+            if j in owner:
+                row_price[owner[j]] += reach - d
+        while True:
+            row = came[end]
+            owner[end] = row
+            choice[row], end = end, choice[row]
+            if row == start:
+                break
+    return [j if j < columns else -1 for j in choice]
 
 
 def solve_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The edges of one block that make the most pairs, and among those the least total cost."""
-    rows = rows.sort_values(["sequence", "line_key", "component_index"], kind="stable")
-    lines, pieces = pd.unique(rows["line_key"]), pd.unique(rows["component_key"])
-    at_line = {k: i for i, k in enumerate(lines)}
-    at_piece = {k: i for i, k in enumerate(pieces)}
-    i, j = rows["line_key"].map(at_line).to_numpy(), rows["component_key"].map(at_piece).to_numpy()
-    costs = rows["cost"].to_numpy(np.float64)
-    missing = costs.sum() + 1
-    table = np.full((len(lines), len(lines) + len(pieces)), missing)  # a column of its own leaves a line open
-    table[i, j] = costs
-    chosen = cheapest_assignment(table)
-    return rows[chosen[i] == j]
-
-
-def direct_assign(edges: DataFrame) -> DataFrame:
-    """The edges of a one-to-one assignment: most pairs first, least total cost second.
-
-    Edges that compete with no other are final. The others fall into islands: lines and charges of a
-    statement and merchant whose days follow each other with gaps of at most one day. No edge leaves
-    an island, so each is solved on its own.
+    """The edges of some islands that make the most pairs, and among those the least days, quality and
+    place in the evidence, in sum. Connected parts of the edges are solved on their own."""
+    rows = rows.sort_values(["sequence", "line_key", "component_index"], kind="stable").reset_index(drop=True)
+    i, lines = pd.factorize(pd.MultiIndex.from_frame(rows[LINE_KEYS]))
+    j, pieces = pd.factorize(pd.MultiIndex.from_frame(rows[COMPONENT_KEYS]))
+    part = np.arange(len(lines))
+    while True:  # each line takes the smallest label among those that share a piece with it
+        of_piece = np.full(len(pieces), len(lines))
+        np.minimum.at(of_piece, j, part[i])
+        new = part.copy()
+        np.minimum.at(new, i, of_piece[j])
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    # whole numbers of any length, so that no sum of places reaches quality, nor one of quality days
+    costs = [(d << 80) + (q << 40) + k for d, q, k in zip(*(rows[c].tolist() for c in ("days", "quality", "component_index")), strict=True)]
+    order = np.argsort(part[i], kind="stable")
+    chosen = []
+    for at in np.split(order, np.flatnonzero(np.diff(part[i][order])) + 1):
+        of_row: dict[int, list] = {}
+        names = {k: n for n, k in enumerate(dict.fromkeys(j[at].tolist()))}
+        for k in at.tolist():
+            of_row.setdefault(int(i[k]), []).append(k)
+        found = cheapest_assignment([[(names[int(j[k])], costs[k]) for k in edges] for edges in of_row.values()], len(names))
+        for edges, column in zip(of_row.values(), found, strict=True):
+            chosen += [k for k in edges if names[int(j[k])] == column]
+    return rows.iloc[sorted(chosen)]
+
+
+def direct_assign(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """The edges of a one-to-one assignment: most pairs first; then least days, quality and places.
+
+    Edges that compete with no other are final, and so is the best edge of a star, whose other edges
+    all end in lines or charges of no other edge. The rest falls into islands: edges of a statement and merchant, and of
+    one amount where no line has edges of two, whose days follow each other with gaps of at most one
+    day. No edge leaves an island. Many islands go to one task, some `block_edges` edges at a time.
     """
     degrees = with_degrees(edges)
-    sure = degrees.where("line_degree = 1 AND piece_degree = 1").drop("line_degree", "piece_degree")
-    open_edges = degrees.where("line_degree > 1 OR piece_degree > 1").drop("line_degree", "piece_degree")
+    line, piece = Window.partitionBy(*LINE_KEYS), Window.partitionBy(*COMPONENT_KEYS)
+    around = degrees.withColumn("line_busy", F.max("piece_degree").over(line)).withColumn("piece_busy", F.max("line_degree").over(piece))
+    # a star around a line, or around a charge: all its other ends have this edge only
+    star = F.when(F.col("line_busy") == 1, 1).when(F.col("piece_busy") == 1, 2).otherwise(0)
+    rank = [F.col(c) for c in ("days", "quality", "component_index", "sequence", "line_key", "component_key")]
+    best = F.when(F.col("star") == 1, F.row_number().over(line.orderBy(*rank))).otherwise(F.row_number().over(piece.orderBy(*rank)))
+    ranked = staged(around.withColumn("star", star).withColumn("best", best), "degrees")
+    sure = ranked.where("star > 0 AND best = 1").select(edges.columns)
+    open_edges = ranked.where("star = 0").select(edges.columns)
     low, high = F.least("line_date", "event_date"), F.greatest("line_date", "event_date")
-    order = Window.partitionBy("statement_id", "merchant_key").orderBy("low", "high", "line_key", "component_key")
+    mixed = F.max("two").over(Window.partitionBy("statement_id", "merchant_key")) > 0
+    keyed = open_edges.withColumn("low", low).withColumn("high", high).withColumn("two", (F.min("amount").over(line) != F.max("amount").over(line)).cast("int"))
+    keyed = keyed.withColumn("purse", F.when(~mixed, F.concat_ws(" ", "currency", F.col("amount").cast("string"))).otherwise("")).drop("two")
+    keys = ["statement_id", "merchant_key", "purse"]
+    order = Window.partitionBy(*keys).orderBy("low", "high", "line_key", "component_key")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # edges meet only through a common line or charge, whose day lies within both edges
     islands = (
-        open_edges.withColumn("low", low).withColumn("high", high)
-        .withColumn("starts", (F.col("low") > F.max("high").over(before)).cast("int"))
+        keyed.withColumn("starts", (F.col("low") > F.max("high").over(before)).cast("int"))
         .withColumn("island", F.sum(F.coalesce("starts", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .drop("low", "high", "starts")
     )
-    solved = islands.groupBy("statement_id", "merchant_key", "island").applyInPandas(solve_block, islands.schema).drop("island")
+    blocks = max(1, -(-open_edges.count() // block_edges))
+    dealt = islands.withColumn("block", F.pmod(F.xxhash64(*keys, "island"), F.lit(blocks))).drop("island", "purse")
+    solved = dealt.groupBy("block").applyInPandas(solve_block, dealt.schema).drop("block")
     return sure.unionByName(solved)
 
 
@@ -215,8 +266,8 @@ def refund_net_candidates(options: DataFrame, unique: DataFrame, linked: bool, t
         start = start.join(refund_links(unique), ["statement_id", "merchant_key", "charge_key"])
         pool = start.join(refunds, ["statement_id", "merchant_key", "currency", "month", "refund_key"])
     else:
-        near = F.abs(F.datediff("line_date", "refund_date")) <= tolerance
-        pool = start.join(refunds, ["statement_id", "merchant_key", "currency", "month"]).where(near)
+        reach = F.sequence(F.date_sub("refund_date", tolerance), F.date_add("refund_date", tolerance))
+        pool = start.join(refunds.withColumn("line_date", F.explode(reach)), ["statement_id", "merchant_key", "currency", "month", "line_date"])
     pool = pool.withColumn("refund_days", F.abs(F.datediff("line_date", "refund_date")))
     base = ["statement_id", "merchant_key", "line_key", "charge_key", "pos"]
     sets = pool.select(
@@ -228,7 +279,8 @@ def refund_net_candidates(options: DataFrame, unique: DataFrame, linked: bool, t
     every, at = sets, sets
     for _ in range(most - 1):
         later = F.struct("next_order", "next_key") > F.struct("last_order", "last_key")
-        at = at.join(more, base).where(later).select(
+        # refunds are not positive, so a set that is at the amount or below needs no more of them, but for zeros
+        at = at.where("net >= amount").join(more, base).where(later).select(
             *base, "sequence", "basis", "amount", "quality", "receipt_order", "charge_days", (F.col("net") + F.col("next_amount")).alias("net"),
             F.greatest("worst", "next_days").alias("worst"), F.concat("refund_keys", F.array("next_key")).alias("refund_keys"),
             F.col("next_order").alias("last_order"), F.col("next_key").alias("last_key"),
@@ -239,22 +291,12 @@ def refund_net_candidates(options: DataFrame, unique: DataFrame, linked: bool, t
     return fitting.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "pos")
 
 
-def consume_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one statement and merchant: lines in sequence take their first one still free."""
-    rows = rows.assign(size=[len(x) for x in rows["refund_keys"]], names=[tuple(x) for x in rows["refund_keys"]])
-    rows = rows.sort_values(["sequence", "line_key", "size", "charge_days", "worst", "quality", "receipt_order", "charge_key", "names"], kind="stable")
-    taken, done, chosen = set(), set(), []
-    for at, row in enumerate(rows.itertuples()):
-        keys = {row.charge_key, *row.names}
-        if row.line_key not in done and not keys & taken:
-            taken |= keys
-            done.add(row.line_key)
-            chosen.append(at)
-    return rows.iloc[chosen].drop(columns=["size", "names"])
-
-
 def refund_net_assign(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("statement_id", "merchant_key").applyInPandas(consume_in_order, candidates.schema)
+    """Lines in sequence take their first candidate whose evidence is still free."""
+    order = ["statement_id", "merchant_key", "sequence", "line_key", F.size("refund_keys"), "charge_days", "worst", "quality", "receipt_order", "charge_key", "refund_keys"]
+    name = lambda kind, key: F.concat_ws("|", F.lit(kind), F.col("statement_id").cast("string"), key.cast("string"))
+    pieces = F.transform(F.concat(F.array("charge_key"), "refund_keys"), lambda k: name("piece", k))
+    return greedy_choice(candidates, [c if isinstance(c, Column) else F.col(c) for c in order], F.concat(F.array(name("line", F.col("line_key"))), pieces))
 
 
 def _without(evidence: DataFrame, used: DataFrame) -> DataFrame:

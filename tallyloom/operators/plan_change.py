@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_previous_month
 from ..functions.text import plans_related
+from .exclusive import greedy_choice
 
 CORE = ["end_days", "unnamed", "billing_days", "neg_confidence", "quality"]
 
@@ -59,17 +59,9 @@ def plan_change_best(candidates: DataFrame, rejected: DataFrame | None = None) -
     return best if rejected is None else best.join(rejected, "fingerprint", "left_anti")
 
 
-def take_in_rank(rows: pd.DataFrame) -> pd.DataFrame:
-    """In rank order, each line, change document and older evidence once; whoever comes late gets nothing."""
-    rows = rows.sort_values(["end_days", "unnamed", "billing_days", "neg_confidence", "sequence", "line_key", "change_id", "evidence_key"], kind="stable")
-    changes, older, kept = set(), set(), []
-    for at, (change, evidence) in enumerate(zip(rows["change_id"], rows["evidence_key"], strict=True)):
-        if change not in changes and evidence not in older:
-            changes.add(change)
-            older.add(evidence)
-            kept.append(at)
-    return rows.iloc[kept]
-
-
 def plan_change_alloc(best: DataFrame) -> DataFrame:
-    return best.groupBy("statement_id", "merchant_key").applyInPandas(take_in_rank, best.schema)
+    """In rank order, each line, change document and older evidence once; whoever comes late gets nothing."""
+    order = [*CORE[:4], "sequence", "line_key", "change_id", "evidence_key"]
+    name = lambda kind, key: F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in ("statement_id", "merchant_key", key)])
+    names = F.array(name("line", "line_key"), name("change", "change_id"), name("old", "evidence_key"))
+    return greedy_choice(best, [F.col("statement_id"), F.col("merchant_key"), *[F.col(c) for c in order]], names)

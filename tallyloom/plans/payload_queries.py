@@ -75,7 +75,7 @@ def unresolved_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS = """
 , base AS (
     SELECT o_orderkey AS k, concat(o_custkey, '/', strftime(CAST(o_orderdate AS DATE), '%Y-%m')) AS statement_id, o_custkey AS c,
-           CAST(o_orderdate AS DATE) AS d, o_orderkey % 97 AS sup, CASE WHEN o_orderkey % 7 = 0 THEN 90 ELSE (o_orderkey % 9 + 1) * 10 END AS sure
+           CAST(o_orderdate AS DATE) AS d, o_orderkey % 97 AS sup, CASE WHEN o_orderkey % 7 = 0 THEN 95 ELSE (o_orderkey % 9 + 1) * 10 END AS sure
     FROM orders
 ), items AS (
     SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY k) AS nth,

@@ -80,12 +80,22 @@ def test_evidence_is_the_same_only_by_reference(spark, pieces, kept):
 
 def test_assignment_against_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        n = int(rng.integers(1, 5))
-        cost = rng.integers(0, 20, (n, n + int(rng.integers(0, 3)))).astype(float)
-        found = m.cheapest_assignment(cost)
-        best = min(sum(cost[i, q[i]] for i in range(n)) for q in itertools.permutations(range(cost.shape[1]), n))
-        assert len(set(found.tolist())) == n and cost[np.arange(n), found].sum() == best
+    for _ in range(300):
+        n, columns = int(rng.integers(1, 5)), int(rng.integers(1, 6))
+        rows = [[(j, int(rng.integers(0, 20))) for j in range(columns) if rng.random() < 0.6] for _ in range(n)]
+        found = m.cheapest_assignment(rows, columns)
+        total = lambda pick: (-sum(j >= 0 for j in pick), sum(dict(r)[j] for r, j in zip(rows, pick, strict=True) if j >= 0))
+        every = itertools.product(*[[-1, *[j for j, _ in r]] for r in rows])
+        best = min(total(p) for p in every if len({j for j in p if j >= 0}) == sum(j >= 0 for j in p))
+        assert len({j for j in found if j >= 0}) == sum(j >= 0 for j in found) and total(found) == best
+
+
+def test_a_large_merchant_is_solved(spark):
+    lines = [(1, f"L{i}", i, day(1 + i % 28), "M", Decimal(20), "USD", None) for i in range(1500)]
+    pieces = [piece(f"C{i}", 1 + (i * 5) % 28, "20", i, merchant="M") for i in range(1400)]
+    edges = m.direct_edges(m.amount_options(spark.createDataFrame(lines, LINE)), m.unique_evidence(spark.createDataFrame(pieces, PIECE)))
+    found = m.direct_assign(edges).toPandas()
+    assert len(found) == found.line_key.nunique() == found.component_key.nunique() == 1400
 
 
 def test_random_blocks_have_most_pairs_at_least_cost(spark):

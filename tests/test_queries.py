@@ -1,10 +1,10 @@
 """Every query with SQL against DuckDB on the smallest given tables."""
 
-import math
 import os
 from decimal import Decimal
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyloom.plans import registry
@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tab
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.isna(value):
         return ""
     if isinstance(value, bool):
         return str(int(value))
