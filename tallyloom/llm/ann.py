@@ -3,7 +3,8 @@
 The nearest row by Euclidean distance has the largest q.x - |x|^2 / 2, an inner product whose second
 term is kept exactly. Codebooks of 16 centres a subspace (four-bit codes) are fitted to a loss that
 weighs the residual along the vector, which distorts large inner products, above the rest. Tables of
-query and centre products score all codes, and the best rows are ranked by exact distances.
+query and centre products score all codes of a scan. The best rows of the whole table by these scores
+are fetched by a join and ranked by exact distances, so the result depends on neither files nor batches.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 CENTRES = 16
-SUBSPACE = 4
+SUBSPACE = 2
 PARALLEL_WEIGHT = 4.0
-SAMPLE_ROWS = 16384
+SAMPLE_ROWS = 8192
 QUERY_BLOCK = 4096
-SHORTLIST = 160
+#: Rows of the whole table that each query ranks exactly, and sampled rows whose scores bound what a scan must report.
+SHORTLIST = 480
+BOUND_ROWS = 4096
 INDEX_SCHEMA = "vec_id long, codes binary, half_norm double, vector binary"
 
 
@@ -70,7 +73,7 @@ class Codebooks:
     def fit(cls, sample: np.ndarray, rounds: int = 8, seed: int = 7) -> Codebooks:
         parts, rng = cls.split(sample), np.random.default_rng(seed)
         norms = (sample.astype(np.float64) ** 2).sum(axis=1)
-        chosen = rng.choice(len(sample), (parts.shape[1], CENTRES), replace=len(sample) < CENTRES)
+        chosen = rng.integers(0, len(sample), (parts.shape[1], CENTRES))
         book = cls(np.stack([parts[rows, m] for m, rows in enumerate(chosen)]), sample.shape[1])
         gain, eye = PARALLEL_WEIGHT - 1, np.eye(SUBSPACE)
         for _ in range(rounds):
@@ -99,31 +102,43 @@ def _stack(binaries: pd.Series, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(binaries), dtype).reshape(len(binaries), -1)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Codebooks | None, int]:
-    """(index, codebooks, dims). Codebooks are fitted on at most sample_rows rows, chosen by a hash of
-    vec_id; every usable vector of the most frequent length is encoded and indexed."""
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Codebooks | None, np.ndarray]:
+    """(index, codebooks, sample). Codebooks are fitted on the sample, at most sample_rows rows, chosen by a hash of
+    vec_id; every usable vector of the most frequent length is encoded and indexed, with a row_no of its own."""
     good = vectors.where(usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     sizes = good.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], INDEX_SCHEMA), None, 0
-    dims = sizes[0]["dims"]
-    good = good.where(F.size("v") == dims)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
-    book = Codebooks.fit(np.array(sample["v"].tolist(), np.float64))
+        return vectors.sparkSession.createDataFrame([], "row_no long, " + INDEX_SCHEMA), None, np.zeros((0, 0))
+    good = good.where(F.size("v") == sizes[0]["dims"])
+    chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
+    sample = np.array(chosen["v"].tolist(), np.float64)
+    book = Codebooks.fit(sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.array(batch["v"].tolist(), np.float64)
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
                 codes = book.encode(x)
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 nibbles = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pd.DataFrame(
-                    {"vec_id": batch["vec_id"], "codes": [r.tobytes() for r in nibbles], "half_norm": (x**2).sum(axis=1) / 2, "vector": [r.tobytes() for r in x]}
-                )
+                lists = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (nibbles, x)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists[0], pa.array((x**2).sum(axis=1) / 2), lists[1]], ["vec_id", "codes", "half_norm", "vector"])
 
-    return materialize(good.mapInPandas(run, INDEX_SCHEMA), "ann-index"), book, dims
+    coded = good.mapInArrow(run, INDEX_SCHEMA).select(F.monotonically_increasing_id().alias("row_no"), "*")
+    return materialize(coded, "ann-index"), book, sample
+
+
+def _stack(binaries: list[bytes], dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(binaries), dtype).reshape(len(binaries), -1)
+
+
+def _scores(lut: np.ndarray, codes: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Approximate q.x - |x|^2 / 2 of each query and row."""
+    scores = np.repeat(-half[None, :], len(lut), axis=0)
+    for m in range(lut.shape[1]):
+        scores += lut[:, m, codes[:, m]]
+    return scores
 
 
 def _best(scores: np.ndarray, names: np.ndarray, keep: int) -> np.ndarray:
@@ -136,72 +151,82 @@ def _best(scores: np.ndarray, names: np.ndarray, keep: int) -> np.ndarray:
     return at[np.lexsort((names[at], -scores[at]))[:keep]]
 
 
-def _search_block(index: DataFrame, book: Codebooks, names: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> DataFrame:
-    """The k nearest rows of each scan task for a block of at most QUERY_BLOCK queries."""
-    tables = index.sparkSession.sparkContext.broadcast((names, queries, book.tables(queries)))
+def _search_block(index: DataFrame, book: Codebooks, sample: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> DataFrame:
+    """The k nearest rows of the index for a block of at most QUERY_BLOCK queries.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, q, lut = tables.value
-        found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
+    A scan reports rows whose score is at least the shortlist-th best of a sample, which no row of the
+    whole table's shortlist falls below, and at most `shortlist` rows of each task.
+    """
+    lut, some = book.tables(queries), sample[:BOUND_ROWS]
+    floor = np.full(len(names), -np.inf, np.float32)
+    if len(some) > shortlist:  # the query's own row may be among them
+        coded, half = book.encode(some), ((some**2).sum(axis=1) / 2).astype(np.float32)
+        for start in range(0, len(names), 64):
+            scores = _scores(lut[start : start + 64], coded, half)
+            floor[start : start + 64] = np.partition(scores, len(some) - shortlist - 1, axis=1)[:, len(some) - shortlist - 1]
+    sent = index.sparkSession.sparkContext.broadcast((names, queries, lut, floor))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _, tables, least = sent.value
+        held = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            ids = batch["vec_id"].to_numpy(np.int64)
-            packed, x = _stack(batch["codes"], "u1"), _stack(batch["vector"], "<f8")
-            codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(ids), -1)[:, : lut.shape[1]]
-            half = batch["half_norm"].to_numpy(np.float32)
+            ids, rows = (batch.column(c).to_numpy() for c in ("vec_id", "row_no"))
+            packed, half = _stack(batch.column("codes").to_pylist(), "u1"), batch.column("half_norm").to_numpy().astype(np.float32)
+            codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(ids), -1)[:, : tables.shape[1]]
             for start in range(0, len(own), 64):
-                part = lut[start : start + 64]
-                scores = np.repeat(-half[None, :], len(part), axis=0)
-                for m in range(lut.shape[1]):
-                    scores += part[:, m, codes[:, m]]
+                scores = _scores(tables[start : start + 64], codes, half)
                 for i, line in enumerate(scores, start):
-                    line[ids == own[i]] = -np.inf
-                    at = _best(line, ids, shortlist)
-                    at = at[line[at] > -np.inf]
-                    distance = np.concatenate([found[i][0], np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))])
-                    near = np.concatenate([found[i][1], ids[at]])
-                    first = np.lexsort((near, distance))[:k]
-                    found[i] = distance[first], near[first]
-        if sum(len(x[1]) for x in found):
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(own, [len(x[1]) for x in found]),
-                    "vec_id": np.concatenate([x[1] for x in found]),
-                    "score": np.concatenate([x[0] for x in found]),
-                }
-            )
-
-    return index.mapInPandas(run, "query_id long, vec_id long, score double")
+                    at = np.flatnonzero((line >= least[i]) & (ids != own[i]))
+                    if len(at):
+                        both = [np.concatenate(x) for x in zip(held[i], (line[at], ids[at], rows[at]), strict=True)]
+                        first = _best(both[0], both[1], shortlist)
+                        held[i] = tuple(x[first] for x in both)
+        if any(len(x[0]) for x in held):
+            sizes = [len(x[0]) for x in held]
+            columns = [np.repeat(own, sizes), *[np.concatenate([x[c] for x in held]) for c in (2, 1, 0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "row_no", "vec_id", "guess"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q, _, _ = sent.value
+        order = np.argsort(own)
+        for batch in batches:
+            if batch.num_rows:
+                x = _stack(batch.column("vector").to_pylist(), "<f8")
+                at = order[np.searchsorted(own[order], batch.column("query_id").to_numpy())]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt(((x - q[at]) ** 2).sum(axis=1)))], ["query_id", "vec_id", "score"])
+
+    found = index.select("row_no", "vec_id", "codes", "half_norm").mapInArrow(scan, "query_id long, row_no long, vec_id long, guess float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id", "row_no")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).select("query_id", "row_no", "vec_id")
+    near = best.join(index.select("row_no", "vector"), "row_no").select("query_id", "vec_id", "vector").mapInArrow(exact, "query_id long, vec_id long, score double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = SHORTLIST, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by Euclidean distance for each query row.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-    components take no part, nor do rows without vec_id. A query's own row is no candidate; ties go
-    to the smaller vec_id; a table without usable vectors gives an empty result. Queries go through
-    the scan in blocks, so what is broadcast is bounded whatever the number of queries.
+    components take no part, nor do rows without vec_id. Rows of the query's vec_id are no candidates;
+    of queries with equal vec_id the smallest vector by bytes asks. Ties go to the smaller vec_id; a
+    table without usable vectors gives an empty result. Queries go through the scan in blocks, so what
+    is broadcast is bounded whatever the number of queries.
     """
     spark = vectors.sparkSession
-    index, book, dims = build_index(vectors.where("vec_id IS NOT NULL"))
+    index, book, sample = build_index(vectors.where("vec_id IS NOT NULL"))
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if book is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = index.where(is_query).select("vec_id", "vector")
-    total = chosen.count()
-    blocks = max(1, -(-total // query_block))
-    parts = []
+        return empty
+    chosen = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    blocks = max(1, -(-chosen.count() // query_block))
+    out = None
     for b in range(blocks):
         mine = chosen if blocks == 1 else chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks)).between(2 * b, 2 * b + 1))
-        rows = mine.toPandas().drop_duplicates("vec_id")
+        rows = mine.toPandas()
         if len(rows):
-            names, q = rows["vec_id"].to_numpy(np.int64), _stack(rows["vector"], "<f8")
-            parts.append(materialize(_search_block(index, book, names, q, k, shortlist), "ann-near"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    near = parts[0]
-    for part in parts[1:]:
-        near = near.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            names, q = rows["vec_id"].to_numpy(np.int64), _stack(rows["vector"].tolist(), "<f8")
+            near = materialize(_search_block(index, book, sample, names, q, k, shortlist), "ann-near")
+            out = near if out is None else out.unionByName(near)
+    return empty if out is None else out
