@@ -2,7 +2,7 @@
 
 Messages, calls and results are rows, and stay rows: a conversation is never gathered in one task.
 Positions are sort keys: (level, turn, kind), where the level is the longest chain of links before a
-row, found by doubling pointers along chains, and by peeling where a call has several predecessors.
+row: runs of calls with one predecessor are doubled over, and forks are placed one after the other.
 """
 
 from __future__ import annotations
@@ -48,58 +48,68 @@ def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.array_join(F.array_compact(F.array(*problems)), ",")
 
 
-def _chain_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Depths where each call has one need at most: pointers to needs double their reach each round, so
-    a chain of n calls takes log n rounds. Pointers that no round shortens any more lie on cycles."""
-    at = nodes.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "need", F.when(F.col("need").isNull(), 0).otherwise(1).alias("depth"))
-    at = materialize(at, "chat-pointers")
-    waiting = at.where("need IS NOT NULL").count()
+def _chain_tops(edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, top, steps for calls of exactly one need: the first call behind it, `steps` needs away,
+    that has none or several. Pointers double their reach each round, so n calls in a row take log n
+    rounds; those that no round brings to an end lie on cycles and are left out."""
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("top"))
+    single = materialize(counted.where("n = 1").select("conv_id", "call_id", "top"), "chat-single")
+    inner = single.select("conv_id", F.col("call_id").alias("top"), F.lit(True).alias("inner"))
+    at = materialize(single.join(inner, ["conv_id", "top"], "left").select("conv_id", "call_id", "top", F.lit(1).cast("long").alias("steps"), "inner"), "chat-pointers")
+    waiting = at.where("inner").count()
     while waiting:
-        ahead = at.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("depth").alias("more"))
-        step = at.join(ahead, ["conv_id", "need"], "left")
-        depth = F.col("depth") + F.coalesce("more", F.lit(0))
-        at = materialize(step.select("conv_id", "call_id", F.col("next").alias("need"), depth.alias("depth")), "chat-pointers")
-        left = at.where("need IS NOT NULL").count()
+        ahead = at.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("inner").alias("on"))
+        step = at.join(ahead, ["conv_id", "top"], "left")
+        moved = step.select("conv_id", "call_id", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(F.col("next").isNotNull(), F.col("on")).alias("inner"))
+        at = materialize(moved, "chat-pointers")
+        left = at.where("inner").count()
         if left == waiting:
             break
         waiting = left
-    return at.where("need IS NULL").select("conv_id", "call_id", "depth")
-
-
-def _peeled_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Depths of any acyclic needs: each round places the calls whose needs are all placed."""
-    depth, placed, open_nodes = 0, [], nodes
-    while not open_nodes.isEmpty():
-        waiting = edges.select("conv_id", "call_id").distinct()
-        ready = materialize(open_nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)), "chat-ready")
-        if ready.isEmpty():
+    return at.where("inner IS NULL").select("conv_id", "call_id", "top", "steps")
+
+
+def _fork_depths(nodes: DataFrame, edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """conv_id, call_id, depth of calls without needs or with several. Runs of single needs count as one edge of
+    their length, so rounds go by forks that follow each other and not by calls."""
+    behind = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"))
+    free = nodes.join(behind, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long"))
+    several = edges.join(behind.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    runs = tops.select("conv_id", F.col("call_id").alias("need"), "top", "steps")
+    inner = behind.where("n = 1").select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("inner"))
+    short = several.join(runs, ["conv_id", "need"], "left").join(inner, ["conv_id", "need"], "left")
+    # a need on a cycle of single needs has no top: its call can never be placed
+    top = F.when(F.col("inner") & F.col("top").isNull(), None).otherwise(F.coalesce("top", "need"))
+    at = materialize(short.select("conv_id", "call_id", top.alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(None).cast("long").alias("depth")), "chat-forks")
+    placed = fresh = materialize(free, "chat-free")
+    while not at.isEmpty():
+        known = fresh.select("conv_id", F.col("call_id").alias("top"), F.col("depth").alias("at_top"))
+        at = at.join(known, ["conv_id", "top"], "left").select("conv_id", "call_id", "top", "steps", F.coalesce("depth", F.col("at_top") + F.col("steps")).alias("depth"))
+        at = materialize(at, "chat-forks")
+        done = at.groupBy("conv_id", "call_id").agg(F.max("depth").alias("depth"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").drop("open")
+        fresh = materialize(done, "chat-placed")
+        if fresh.isEmpty():
             break
-        placed.append(ready)
-        gone = ready.select("conv_id", F.col("call_id").alias("need"))
-        open_nodes = materialize(open_nodes.join(ready, ["conv_id", "call_id"], "left_anti"), "chat-calls")
-        edges = materialize(edges.join(gone, ["conv_id", "need"], "left_anti"), "chat-needs")
-        depth += 1
-    out = nodes.limit(0).withColumn("depth", F.lit(0))
-    for part in placed:
-        out = out.unionByName(part)
-    return out
+        placed = placed.unionByName(fresh)
+        at = at.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    return placed
 
 
 def call_depths(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """conv_id, call_id, depth of each call: 0 without needs, else one more than the deepest need.
 
     needs has conv_id, call_id, need. Needs of no known call are left out. Calls on a cycle, or behind
-    one, have no depth and are not returned. Only conversations with a call of several needs are peeled.
+    one, have no depth and are not returned. An empty table gives an empty result; other columns are not read.
     """
     nodes = materialize(calls.select("conv_id", "call_id").distinct(), "chat-calls")
     known = nodes.withColumnRenamed("call_id", "need")
-    edges = materialize(needs.join(known, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"]).select("conv_id", "call_id", "need").distinct(), "chat-needs")
-    forked = materialize(edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id").distinct(), "chat-forked")
-    if forked.isEmpty():
-        return _chain_depths(nodes, edges)
-    plain = [df.join(forked, "conv_id", "left_anti") for df in (nodes, edges)]
-    rest = [materialize(df.join(forked, "conv_id", "left_semi"), "chat-forks") for df in (nodes, edges)]
-    return _chain_depths(*plain).unionByName(_peeled_depths(*rest))
+    edges = needs.select("conv_id", "call_id", "need").join(known, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"])
+    edges = materialize(edges.select("conv_id", "call_id", "need").distinct(), "chat-needs")
+    tops = materialize(_chain_tops(edges), "chat-tops")
+    forks = materialize(_fork_depths(nodes, edges, tops), "chat-depths")
+    ends = forks.select("conv_id", F.col("call_id").alias("top"), "depth")
+    runs = tops.join(ends, ["conv_id", "top"]).select("conv_id", "call_id", (F.col("depth") + F.col("steps")).alias("depth"))
+    return forks.unionByName(runs)
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Schemas) -> DataFrame:
@@ -130,7 +140,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, n
     columns = ["conv_id", "level", "turn", "kind", "call_id", "status", "errors", "json"]
     errors = schema_errors(F.col("name"), F.col("arguments"), schemas)
     call_rows = linked.select(
-        "conv_id", F.coalesce(F.col("depth") * 2, F.lit(-1)).alias("level"), "turn", F.lit("call").alias("kind"), "call_id",
+        "conv_id", F.coalesce(F.col("depth") * 2, F.lit(-1)).cast("int").alias("level"), "turn", F.lit("call").alias("kind"), "call_id",
         status.alias("status"), errors.alias("errors"), call_line.alias("json"),
     )
     key = F.struct("turn", "arguments", "name")
@@ -147,7 +157,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, n
     result_line = F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("content"), F.coalesce("call_id", F.lit("")).alias("id"), F.lit("tool_result").alias("type")))
     result_rows = results.join(owner, ["conv_id", "call_id"], "left").select(
         "conv_id",
-        F.when(F.col("known") & F.col("depth").isNotNull(), F.col("depth") * 2 + 1).when(F.col("known"), -1).otherwise(0).alias("level"),
+        F.when(F.col("known") & F.col("depth").isNotNull(), F.col("depth") * 2 + 1).when(F.col("known"), -1).otherwise(0).cast("int").alias("level"),
         "turn", F.lit("result").alias("kind"), "call_id",
         F.when(F.col("known") & F.col("depth").isNull(), "cyclic").when(F.col("known"), "linked").otherwise("orphan").alias("status"),
         F.lit("").alias("errors"), result_line.alias("json"),
