@@ -2,6 +2,7 @@
 and columns whose names clash with those the operators make."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -446,6 +447,23 @@ def test_nearest_rows_are_exact_on_few_and_near_on_many(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the given tables are not here")
+def test_recall_on_the_given_vectors_whatever_the_files(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in table.collect() if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)}
+    ids = np.array(sorted(x))
+    wide, hits, total = np.stack([x[i] for i in ids]), 0, 0
+    got = ann.nearest(table, F.col("vec_id") % 100 == 0, shortlist=60).toPandas()
+    for q, part in got.groupby("query_id"):
+        distance = np.where(ids == q, np.inf, np.sqrt(((wide - x[q]) ** 2).sum(axis=1)))
+        hits += len(set(ids[np.lexsort((ids, distance))[:10]]) & set(part.vec_id))
+        total += 10
+    assert hits >= 0.9 * total  # with an eighth of the shipped shortlist
+    again = ann.nearest(table.repartition(13), F.col("vec_id") % 100 == 0, shortlist=60).toPandas()
+    key = lambda f: sorted(map(tuple, f[["query_id", "rank", "vec_id"]].to_numpy().tolist()))
+    assert key(got) == key(again)
+
+
 # WARC
 
 
@@ -524,6 +542,31 @@ def test_long_chains_of_calls(spark):
     assert {r.call_id: r.depth for r in got} == {f"c{i}": i for i in range(70)}
 
 
+def test_depths_of_random_graphs_with_forks_and_cycles(spark):
+    rng, calls, needs, want = random.Random(12), [], [], {}
+    for conv in range(25):
+        n = rng.randrange(1, 14)
+        links = {(i, j) for i in range(n) for j in range(i) if rng.random() < rng.choice([0.1, 0.25])} | {(i, i - 1) for i in range(1, n) if rng.random() < 0.6}
+        if conv % 5 == 0 and n > 3:
+            links.add((1, 3))
+            links.add((3, 1))
+        calls += [(conv, i, f"c{i}", "add", "{}") for i in range(n)]
+        needs += [(conv, f"c{i}", f"c{j}") for i, j in links] + [(conv, "c0", "gone")]
+        depth = {}
+        for _ in range(n + 1):
+            for i in range(n):
+                behind = [j for a, j in links if a == i]
+                if i not in depth and all(j in depth for j in behind):
+                    depth[i] = max((depth[j] + 1 for j in behind), default=0)
+        want |= {(conv, f"c{i}"): d for i, d in depth.items()}
+    calls += [(99, i, f"c{i}", "add", "{}") for i in range(40)]  # one fork far from the start of a run
+    needs += [(99, f"c{i}", f"c{i - 1}") for i in range(1, 40)] + [(99, "c30", "c2")]
+    want |= {(99, f"c{i}"): i for i in range(40)}
+    df = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")
+    got = chat.call_depths(df, spark.createDataFrame(needs, "conv_id long, call_id string, need string")).collect()
+    assert {(r.conv_id, r.call_id): r.depth for r in got} == want and len(got) == len(want)
+
+
 def test_plain_conversations_with_odd_rows(spark):
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", ""), (None, 0, "user", "x"), (2, None, "user", "y"), (3, 0, None, LONG), (3, 0, None, LONG)], "conv_id long, turn long, role string, text string")
     got = chat.link_tool_calls(*chat.calls_of_conversations(turns), chat.DEMO_SCHEMAS)
