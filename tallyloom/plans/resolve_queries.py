@@ -177,7 +177,7 @@ ORACLE_SQL = {
         SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg'
                ELSE 'application/octet-stream' END AS file_type FROM orders""",
     "build_filename": with_clause("fx_receipts") + """
-        SELECT receipt_id, concat(strftime(issued_on, '%y%m%d'), '_u_', user_id, '_Vendor_', catalog_id, '_Ltd_', amount,
+        SELECT receipt_id, concat(strftime(issued_on, '%y%m%d'), '_u_', user_id, '_Vendor_', catalog_id, '_', amount,
                CASE WHEN bits % 3 = 0 THEN '.5' ELSE '' END, '_', currency, '.pdf') AS filename FROM fx_receipts""",
     "bill_to_user": f"""
         WITH found AS (SELECT doc_id, {EMAIL} AS address FROM documents),
