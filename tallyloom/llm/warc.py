@@ -8,11 +8,10 @@ in WARC-Refers-To. Reading joins the records through these identifiers alone.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +29,7 @@ RECORD_SCHEMA = (
     "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, "
     "claimed_digest string, payload_bytes long, payload_digest string, page_id long, block string"
 )
+RECORD_TYPES = [*[pa.string()] * 6, pa.int64(), pa.string(), pa.int64(), pa.string()]
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -75,8 +75,11 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
         "warc-pages",
         compression="zstd",
     )
-    first = stored.groupBy("content", "bytes").agg(F.coalesce(F.max_by("row_no", "page_id"), F.min("row_no")).alias("response_row"))
-    rows = stored.join(first, ["content", "bytes"])
+    # equal payloads meet by narrow rows; the payloads themselves move by their own row numbers, which no page shares
+    narrow = stored.select("content", "bytes", "page_id", "row_no")
+    first = narrow.groupBy("content", "bytes").agg(F.coalesce(F.max_by("row_no", "page_id"), F.min("row_no")).alias("response_row"))
+    answer_rows = materialize(narrow.join(first, ["content", "bytes"]).select("row_no", "response_row"), "warc-answers")
+    rows = stored.join(answer_rows.hint("merge"), "row_no")
     answers = (F.col("row_no") == F.col("response_row")) | (F.col("bytes") < min_revisit_bytes)
     response_id = _urn(F.lit("response"), F.col("response_row").cast("string"))
     own_id = F.when(answers, _urn(F.lit("response"), F.col("row_no").cast("string"))).otherwise(_urn(F.lit("revisit"), F.col("row_no").cast("string")))
@@ -102,46 +105,71 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     records.write.options(lineSep=CRLF, compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
 
 
-def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive file, whose bounds are their Content-Length alone."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split(CRLF)
-        if lines[0] != VERSION:
-            raise ValueError(f"no {VERSION} record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        size = int(head["Content-Length"])
-        yield {"head": head, "block": content[end + 4 : end + 4 + size]}
-        at = end + 4 + size + 4
+def parse_records(lines: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(header, block) of the records that lines, without their line ends, hold one after the other.
+
+    A block's bounds are its Content-Length alone. No more than one record is held.
+    """
+    head: dict = {}
+    parts: list[bytes] = []
+    size = left = -1  # left: bytes of the block and its line ends still to come
+    for line in lines:
+        if left < 0:
+            if line:
+                if not head and line != VERSION.encode():
+                    if parts or line.strip():
+                        raise ValueError(f"no {VERSION} record at {line[:40]!r}")
+                elif not head:
+                    head = {"": VERSION}
+                else:
+                    name, value = line.decode().split(": ", 1)
+                    head[name] = value
+            elif head:
+                size = int(head["Content-Length"])
+                left = size
+                parts = []
+            continue
+        parts.append(line)
+        left -= len(line) + 2
+        if left <= -2:  # the line end behind the block was this line's
+            block = b"\r\n".join(parts)
+            yield head, block[:size]
+            head, parts, left = {}, [], -1
 
 
 def read_archive(spark: SparkSession, path: str, with_blocks: bool = False) -> DataFrame:
     """One row per record. Lengths and digests are taken from the payload bytes; block holds the text of a
-    record's block, for responses only if with_blocks is set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for record in parse_records(gzip.decompress(content)):
-                    head, block = record["head"], record["block"]
-                    kind, page, size, digest = head["WARC-Type"], None, None, None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    elif kind == "metadata":
-                        name = dict(x.split(": ", 1) for x in block.decode().splitlines()).get("pageId")
-                        page = int(name) if name else None
-                    claimed = head.get("WARC-Payload-Digest", ":").split(":", 1)[1] or None
-                    text = block.decode() if with_blocks or kind != "response" else None
-                    names = (head.get(x) for x in ("WARC-Record-ID", "WARC-Concurrent-To", "WARC-Refers-To", "WARC-Target-URI"))
-                    rows.append((kind, *names, claimed, size, digest, page, text))
-                found = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
-                yield found.astype({"payload_bytes": "Int64", "page_id": "Int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(run, RECORD_SCHEMA)
+    record's block if with_blocks is set.
+
+    Files are read as streams of lines: what a task holds is a batch of them and one record, whatever
+    the size of a file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+        rows: list[tuple] = []
+        held = 0
+        lines = (line for batch in batches for line in batch.column("value").cast(pa.binary()).to_pylist())
+        for head, block in parse_records(lines):
+            kind, page, size, digest = head["WARC-Type"], None, None, None
+            if kind == "response":
+                payload = block[block.index(b"\r\n\r\n") + 4 :]
+                size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            elif kind == "metadata":
+                name = dict(x.split(": ", 1) for x in block.decode().splitlines()).get("pageId")
+                page = int(name) if name else None
+            claimed = head.get("WARC-Payload-Digest", ":").split(":", 1)[1] or None
+            text = block.decode() if with_blocks else None
+            ids = (head.get(x) for x in ("WARC-Record-ID", "WARC-Concurrent-To", "WARC-Refers-To", "WARC-Target-URI"))
+            rows.append((kind, *ids, claimed, size, digest, page, text))
+            held += len(text or "")
+            if len(rows) >= 4096 or held > 1 << 24:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RECORD_TYPES, strict=True)], names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RECORD_TYPES, strict=True)], names)
+
+    return spark.read.option("lineSep", CRLF).option("pathGlobFilter", "*.gz").text(path).mapInArrow(run, RECORD_SCHEMA)
 
 
 def assemble_captures(records: DataFrame) -> DataFrame:
@@ -167,7 +195,7 @@ def assemble_captures(records: DataFrame) -> DataFrame:
         .withColumnRenamed("metadata_page", "page_id")
         .drop("request_page")
     )
-    captures = materialize(captures, "warc-captures")
+    captures = materialize(captures, "warc-captures", compression="zstd")
     originals = captures.where("record_type = 'response'").select(
         F.col("record_id").alias("original_id"), F.struct(F.col("page_id"), F.col("answer.payload_bytes"), F.col("answer.payload_digest")).alias("original")
     )
@@ -175,11 +203,16 @@ def assemble_captures(records: DataFrame) -> DataFrame:
 
 
 def archive_digest(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes the pages' archives, reads them back and describes each capture."""
+    """Writes the pages' archives, reads them back and describes each capture.
+
+    Null html counts as empty, repeated rows are captures of their own, rows without page_id keep none; an
+    empty table gives an empty result. Other columns than page_id, url and html are not read.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path, min_revisit_bytes)
-    captures = assemble_captures(materialize(read_archive(spark, path), "warc-records"))
+    records = read_archive(spark, path).withColumn("target_uri", F.lit(None).cast("string"))  # not part of the digest
+    captures = assemble_captures(materialize(records, "warc-records", compression="zstd"))
     return captures.select(
         "page_id",
         F.col("original.payload_bytes").alias("payload_bytes"),

@@ -352,6 +352,35 @@ def test_toxicity_learns_words_and_beginnings(spark, docs, empty):
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
+def test_odds_are_those_of_every_vote_given_its_parent():
+    rng = np.random.default_rng(2)
+    votes = (rng.random((60, 7)) < 0.3).astype(np.float32)
+    parent = np.array([-1, 0, 0, 2, -1, 4, 1])
+    above = np.where(parent >= 0, votes[:, parent], 0).astype(np.float32)
+    p = rng.random(60)
+    toxic, clean = (toxicity.class_rates(votes, above, above * votes, w, 0.5) for w in (p, 1 - p))
+    for w, rates in ((p, toxic), (1 - p, clean)):
+        for j, q in enumerate(parent):
+            for up in (0, 1):
+                rows = [i for i in range(60) if (votes[i, q] if q >= 0 else 0) == up]
+                want = (sum(w[i] for i in rows if votes[i, j]) + 0.5) / (sum(w[i] for i in rows) + 1)
+                assert abs(rates[up, j] - min(max(want, 1e-4), 1 - 1e-4)) < 1e-5
+    want = [sum(np.log((t if v else 1 - t) / (c if v else 1 - c)) for v, u, t, c in ((votes[i, j], int(above[i, j]), toxic[int(above[i, j]), j], clean[int(above[i, j]), j]) for j in range(7))) for i in range(60)]
+    assert np.allclose(toxicity.log_odds(votes, above, above * votes, toxic, clean), want, atol=1e-4)
+
+
+def test_labels_come_from_voters_alone_and_copies_count_once():
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.2
+    own = np.where(truth[:, None], rng.random((4000, 8)) < 0.6, rng.random((4000, 8)) < 0.02)
+    weak = np.where(truth, rng.random(4000) < 0.5, rng.random(4000) < 0.1)  # one weak voter, four times
+    votes = np.column_stack([own, *[np.where(rng.random(4000) < 0.98, weak, ~weak) for _ in range(4)]])
+    p = toxicity.label_model(votes)
+    assert ((p > 0.5) == truth).mean() > 0.98
+    parent = toxicity.dependence_tree(votes.astype(np.float32), p)
+    assert sorted(q >= 8 for q in parent[8:]) == [False, True, True, True] and (parent[:8] == -1).all()
+
+
 # secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
