@@ -102,3 +102,23 @@ def same_service(wanted: DataFrame, services: DataFrame) -> DataFrame:
     both = by_entry.select(columns).unionByName(by_name.select(columns)).distinct()
     order = Window.partitionBy("request_id").orderBy(F.desc("is_active"), "service_id")
     return both.withColumn("n", F.row_number().over(order)).where("n = 1").select("request_id", "service_id")
+
+
+def component_merchants(components: DataFrame, keys: DataFrame) -> DataFrame:
+    """components with merchant_key: that of a known merchant in the service's label, else that of the payee. keys is
+    the result of merchant_keys for the payees. Components without a key go, since they fit no line."""
+    known = t.known_merchant(F.col("service_label"))
+    named = components.join(keys.withColumnRenamed("text", "payee"), "payee", "left")
+    return named.withColumn("merchant_key", F.coalesce(F.when(known != "", known), F.col("merchant_key"))).where("merchant_key IS NOT NULL")
+
+
+def unresolved_context(receipts: DataFrame, services: DataFrame, catalog: DataFrame) -> DataFrame:
+    """receipt_id, text that names the merchant of a receipt that gave no component: its label, else its payee, else
+    its service's name with the entry's aliases, else its memo; for merchant_keys. Receipts without any go."""
+    spelled = catalog_aliases(catalog).groupBy("catalog_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("all"))
+    named = services.select("service_id", "catalog_id", F.col("name").alias("own_name"), "billing_type").join(spelled, "catalog_id", "left")
+    joined = receipts.join(named.drop("catalog_id"), "service_id", "left")
+    given = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    service = F.when(F.col("own_name").isNotNull(), F.concat_ws(" ", t.service_name(F.col("own_name"), F.col("billing_type")), "all"))
+    text = F.coalesce(given(F.col("service_label")), given(F.col("payee")), service, given(F.col("memo")))
+    return joined.select("receipt_id", text.alias("text")).where("text IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import resolve as r
 from ..sources import payloads as s
 from .fixtures import view, with_clause
 
@@ -101,7 +102,21 @@ COMPONENT_ROWS = """
            CASE WHEN receipt_id % 5 = 0 THEN 'refund' ELSE 'charge' END FROM fx_receipts WHERE receipt_id % 4 >= 2 AND receipt_id % 6 <> 0 AND receipt_id % 3 <> 0
 )"""
 
-QUERIES = {f.__name__: f for f in (statement_parse, statement_gate, component_explode, unresolved_receipts)}
+def component_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with the keys of their merchants: payees name vendors, every third label a known service."""
+    rows = s.receipt_components(_receipts(spark, sf_dir))[0].withColumn("service_label", F.when(F.col("receipt_id") % 3 == 0, "ChatGPT Team").otherwise("of nobody"))
+    keys = rows.select("payee").distinct().select(F.col("payee").alias("text"), F.concat(F.lit("TEXT:"), F.upper("payee")).alias("merchant_key"))
+    return r.component_merchants(rows, keys).select("receipt_id", "component_key", "merchant_key")
+
+
+def unresolved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("receipt_id")
+    receipts = s.receipt_components(_receipts(spark, sf_dir))[1].select("receipt_id")
+    held = view(spark, sf_dir, "fx_receipts").select("receipt_id", "service_id", F.when(k % 5 == 0, "Label").otherwise("").alias("service_label"), F.when(k % 7 == 0, "Payee").otherwise("").alias("payee"), F.lit("a memo").alias("memo"))
+    return r.unresolved_context(receipts.join(held, "receipt_id"), view(spark, sf_dir, "fx_services"), view(spark, sf_dir, "fx_catalog"))
+
+
+QUERIES = {f.__name__: f for f in (statement_parse, statement_gate, component_explode, unresolved_receipts, component_merchants, unresolved_context)}
 
 ORACLE_SQL = {
     "statement_parse": with_clause("fx_catalog").rstrip() + ITEMS + """
@@ -117,5 +132,10 @@ ORACLE_SQL = {
                CASE WHEN c % 9 = 0 OR c % 11 = 0 OR count(CASE WHEN k % 10 <> 0 THEN 1 END) = 0 THEN 'needs_review' ELSE 'completed' END AS status
         FROM items AS i GROUP BY i.statement_id, c""",
     "component_explode": with_clause("fx_receipts").rstrip() + COMPONENT_ROWS + "SELECT * FROM good",
+    "component_merchants": with_clause("fx_receipts").rstrip() + COMPONENT_ROWS + "SELECT receipt_id, component_key, CASE WHEN receipt_id % 3 = 0 THEN 'OPENAI' ELSE concat('TEXT:', upper(payee)) END AS merchant_key FROM good",
+    "unresolved_context": with_clause("fx_receipts", "fx_services", "fx_catalog").rstrip() + COMPONENT_ROWS + """
+        SELECT r.receipt_id, CASE WHEN r.receipt_id % 5 = 0 THEN 'Label' WHEN r.receipt_id % 7 = 0 THEN 'Payee' WHEN v.service_id IS NULL THEN 'a memo'
+               ELSE concat(v.name, CASE v.billing_type WHEN 'metered' THEN '（従量課金 / API）' WHEN 'subscription' THEN '（サブスク）' ELSE '（一回払い）' END, ' ', (SELECT concat('ALT ', c.name, ' ', c.name, ' Supply-', c.catalog_id, ' Works') FROM fx_catalog AS c WHERE c.catalog_id = v.catalog_id)) END AS text
+        FROM fx_receipts AS r LEFT JOIN fx_services AS v ON v.service_id = r.service_id WHERE r.receipt_id NOT IN (SELECT receipt_id FROM good)""",
     "unresolved_receipts": with_clause("fx_receipts").rstrip() + COMPONENT_ROWS + "SELECT receipt_id FROM fx_receipts WHERE receipt_id NOT IN (SELECT receipt_id FROM good)",
 }

@@ -28,7 +28,7 @@ VIEWS |= {
         SELECT receipt_id, user_id, CAST(receipt_month + INTERVAL 1 MONTH AS DATE) AS period_month, concat('Service ', catalog_id) AS service_name, 'metered' AS billing_type, is_extra, 'm' AS memo, receipt_id % 9 <> 0 AS has_result,
                CASE receipt_id % 4 WHEN 0 THEN concat('AIの推奨。理由: wrong card。', chr(10), 'audit') WHEN 1 THEN 'plain advice' ELSE '' END AS recommendation, CASE WHEN receipt_id % 8 = 2 THEN '日付' ELSE '' END AS unchecked,
                CASE WHEN receipt_id % 5 = 0 THEN 'by hand.' ELSE '' END AS reason FROM fx_receipts""",
-    "fx_arrivals": """
+    "fx_uploads": """
         SELECT receipt_id, user_id, service_id, is_extra, file, CASE WHEN receipt_id % 3 = 0 THEN 'usd' ELSE currency END AS currency, CAST(issued_on AS TIMESTAMP) AS uploaded_at FROM fx_receipts""",
     "fx_old_items": """
         SELECT line_key, statement_id, CASE WHEN line_key % 3 <> 0 THEN line_key END AS receipt_id, CASE WHEN line_key % 4 = 0 THEN merchant_key END AS service_id, merchant_key AS user_id,
@@ -104,7 +104,7 @@ def off_card_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrival_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rq.arrival_snapshots(view(spark, sf_dir, "fx_arrivals"), view(spark, sf_dir, "fx_held"), 5)
+    out = rq.arrival_snapshots(view(spark, sf_dir, "fx_uploads"), view(spark, sf_dir, "fx_held"), 5)
     return out.select("receipt_id", "currency", "service_name", "billing_type", *_flag("p_card_snapshot"), F.to_date("expires_at").alias("expires_on"))
 
 
@@ -291,10 +291,10 @@ ORACLE_SQL = {
     "off_card_requests": with_clause("fx_wishes", "fx_held") + """
         SELECT request_id, CASE WHEN status <> 'pending' THEN 'resolved' WHEN request_id % 13 <> 0 AND EXISTS (SELECT 1 FROM fx_held AS h WHERE NOT h.uses_p_card AND h.user_id = w.user_id AND lower(h.name) = lower(w.service_name)
                AND h.billing_type = w.billing_type) THEN 'resolved' ELSE 'open' END AS status FROM fx_wishes AS w""",
-    "arrival_snapshots": with_clause("fx_arrivals", "fx_held") + """
+    "arrival_snapshots": with_clause("fx_uploads", "fx_held") + """
         SELECT receipt_id, upper(currency) AS currency, CASE WHEN is_extra THEN 'その他' ELSE coalesce(h.name, '') END AS service_name, CASE WHEN is_extra THEN 'other' ELSE h.billing_type END AS billing_type,
                CASE WHEN NOT is_extra AND coalesce(h.uses_p_card, false) THEN 1 ELSE 0 END AS p_card_snapshot, CASE WHEN file <> '' THEN CAST(uploaded_at + INTERVAL 3 MONTH AS DATE) END AS expires_on
-        FROM fx_arrivals AS a LEFT JOIN fx_held AS h ON h.service_id = a.service_id""",
+        FROM fx_uploads AS a LEFT JOIN fx_held AS h ON h.service_id = a.service_id""",
     "removed_statements": with_clause("fx_old_items", "fx_old_statements") + "SELECT line_key FROM fx_old_items WHERE statement_id NOT IN (SELECT statement_id FROM fx_old_statements WHERE status = 'failed')",
     "reminder_messages": with_clause("fx_users", "fx_services") + """
         SELECT user_id, '【重要】App 1998年02月 {other}' AS subject, concat(username, ' 様', chr(10), coalesce((SELECT string_agg(line, chr(10) ORDER BY name, billing_type) FROM lines AS l WHERE l.user_id = u.user_id AND k = 0), '・なし'), chr(10), '--', chr(10),

@@ -1,9 +1,10 @@
 """Receipts that arrive as a stream: the stored table takes the latest version of each, and the
-statements of their months are due again.
+statements of their months are due again; and messages that arrive as a stream and go out once.
 
-Inside foreachBatch the batch is joined with the rows stored so far for its months, so an older version
-that comes late changes nothing and a repeated batch gives the same table. Each batch writes a snapshot
-folder of its own, named by the batch id; the latest one is the table.
+The table lies in buckets by receipt_id. A batch reads and writes the buckets of its own receipts only:
+inside foreachBatch it is joined with the rows stored so far in them, so an older version that comes late
+changes nothing, also where a receipt has moved to another month, and a repeated batch gives the same
+table. Each batch writes a folder of its own, and notes which buckets it holds now.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.messages import outbox
+
+BUCKETS = 64
+NOTES = "bucket int, batch long"
+
 
 def latest_versions(rows: DataFrame) -> DataFrame:
     """The row of each receipt_id that was updated last; ties by the larger event_id."""
@@ -25,17 +31,56 @@ def due_statements(statements: DataFrame, receipts: DataFrame) -> DataFrame:
     return statements.where("status NOT IN ('processing', 'failed')").join(months, "period_month", "left_semi")
 
 
+def _held(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> the batch that wrote it last (before batch `before`): at most BUCKETS entries."""
+    notes = spark.read.schema(NOTES).parquet(f"{table}/notes")
+    known = notes if before is None else notes.where(F.col("batch") < before)
+    return {r["bucket"]: r["batch"] for r in known.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def _rows(spark: SparkSession, schema: StructType, table: str, held: dict[int, int]) -> DataFrame:
+    paths = [f"{table}/batch-{batch}/bucket={bucket}" for bucket, batch in held.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _notes(spark: SparkSession, table: str, rows: list[tuple[int, int]], mode: str) -> None:
+    spark.createDataFrame(rows, NOTES).coalesce(1).write.mode(mode).parquet(f"{table}/notes")
+
+
 def run_arrivals(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Drains the folder `source` through the stream and returns the table that it leaves."""
+    """Drains the folder `source` through the stream and returns the table that it leaves, which stays as it was
+    if nothing new has come. Rows without receipt_id are one receipt."""
+    _notes(spark, table, [], "ignore")
+    bucket = F.pmod(F.xxhash64("receipt_id"), F.lit(BUCKETS)).cast("int")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        touched = sorted(r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect())
+        held = {k: v for k, v in _held(spark, table, batch_id).items() if k in touched}
+        now = latest_versions(batch.unionByName(_rows(spark, schema, table, held))).withColumn("bucket", bucket)
+        now.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/batch-{batch_id}")
+        _notes(spark, table, [(k, batch_id) for k in touched], "append")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _rows(spark, schema, table, _held(spark, table))
+
+
+def run_outbox(spark: SparkSession, source: str, schema: StructType, log: str, checkpoint: str, kind: str, files_per_batch: int = 1) -> DataFrame:
+    """Drains candidates (user_id, receipt_month, email, stopped) through the stream into the log of messages and
+    returns it: idempotency_key, status, batch. A key that the log has as sent is never logged again, whichever
+    batch or run brings it; within a batch a key counts once."""
+    columns = "idempotency_key string, status string, batch long"
+    spark.createDataFrame([], columns).write.mode("ignore").parquet(log)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        now = batch if batch_id == 0 else batch.unionByName(spark.read.schema(schema).parquet(f"{table}/batch-{batch_id - 1}"))
-        latest_versions(now).write.mode("overwrite").parquet(f"{table}/batch-{batch_id}")
+        known = spark.read.schema(columns).parquet(log)
+        due = outbox(batch, known.where(F.col("batch") < batch_id), kind).dropDuplicates(["idempotency_key"])
+        sent = due.select("idempotency_key", F.when(F.col("status") == "skipped", "skipped").otherwise("sent").alias("status"), F.lit(batch_id).cast("long").alias("batch"))
+        again = known.where(F.col("batch") == batch_id).select("idempotency_key")
+        sent.join(again, "idempotency_key", "left_anti").write.mode("append").parquet(log)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    if last is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{table}/batch-{last['batchId']}")
+    return spark.read.schema(columns).parquet(log)

@@ -1,5 +1,7 @@
 """The arrival stream: late older versions and repeated batches change nothing."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyloom.streaming import arrivals
@@ -18,6 +20,8 @@ def test_latest_version_wins_in_any_order(spark, tmp_path):
     spark.createDataFrame(later, SCHEMA).coalesce(1).write.mode("append").parquet(source)
     out = arrivals.run_arrivals(*args)
     assert {(r.receipt_id, r.event_id) for r in out.collect()} == {("a", 3), ("b", 5), ("c", 6)}
+    quiet = arrivals.run_arrivals(*args)
+    assert {(r.receipt_id, r.event_id) for r in quiet.collect()} == {("a", 3), ("b", 5), ("c", 6)}
     again = arrivals.latest_versions(out.unionByName(spark.createDataFrame(first, schema)))
     assert again.exceptAll(out).count() == 0 == out.exceptAll(again).count()
 
@@ -26,3 +30,20 @@ def test_due_statements_are_those_of_the_months(spark):
     statements = spark.createDataFrame([(1, "2026-07", "completed"), (2, "2026-08", "processing"), (3, "2026-06", "completed")], "statement_id int, period_month string, status string")
     came = spark.createDataFrame([("x", "2026-07"), ("y", "2026-08")], "receipt_id string, period_month string")
     assert [r.statement_id for r in arrivals.due_statements(statements, came).orderBy(F.col("statement_id")).collect()] == [1]
+
+
+def test_an_empty_source_leaves_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    assert arrivals.run_arrivals(spark, f"{tmp_path}/in", schema, f"{tmp_path}/table", f"{tmp_path}/checkpoint").count() == 0
+
+
+def test_messages_of_a_stream_go_out_once(spark, tmp_path):
+    schema = "user_id long, receipt_month date, email string, stopped boolean"
+    month = dt.date(2026, 6, 1)
+    spark.createDataFrame([(1, month, "A@x.example", False), (2, month, "b@x.example", True)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    args = (spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/log", f"{tmp_path}/checkpoint", "initial")
+    arrivals.run_outbox(*args)
+    spark.createDataFrame([(1, month, "a@x.example", False), (3, month, "c@x.example", False)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = arrivals.run_outbox(*args).collect()
+    assert sorted((r.idempotency_key, r.status) for r in got) == [("initial:2026-07:user-1:a@x.example", "sent"), ("initial:2026-07:user-2:b@x.example", "skipped"), ("initial:2026-07:user-3:c@x.example", "sent")]
