@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 Many voters, the words of a lexicon and word-beginning patterns found in labelled rows, vote for toxic
-or abstain. A generative model with a latent class estimates each voter's rates by EM, after voters
-that agree more than the class explains have been joined into one factor. A linear classifier is
-trained on its posterior labels and scores every text.
+or abstain. A generative model with a latent class estimates their rates and their correlations, as a
+tree of dependences, by EM; the given labels only pick the voters. A linear classifier is trained on the posterior labels
+and scores every text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "p
 SAMPLE_ROWS = 20_000
 MINED_VOTERS = 400
 PREFIXES = (4, 5, 6, 7)
-LEAST_SUPPORT = 4
+LEAST_SUPPORT = 3
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -73,32 +73,58 @@ def mine_voters(labelled: DataFrame, limit: int = MINED_VOTERS) -> list[str]:
     return [r["form"] for r in best.collect()]
 
 
-def correlated_factors(votes: np.ndarray, label: np.ndarray, most: float = 0.25) -> np.ndarray:
-    """A factor number for each voter: voters whose correlation given the class exceeds `most` share one."""
-    residual = votes - np.where(label[:, None] > 0, votes[label > 0].mean(axis=0) if (label > 0).any() else 0, votes[label <= 0].mean(axis=0) if (label <= 0).any() else 0)
-    spread = np.sqrt((residual**2).sum(axis=0)) + 1e-9
-    linked = (residual.T @ residual) / spread[:, None] / spread[None, :] > most
-    factor = np.arange(votes.shape[1])
-    for i in range(len(factor)):
-        for j in np.flatnonzero(linked[i, :i]):
-            factor[factor == factor[j]] = factor[i]
-    return np.unique(factor, return_inverse=True)[1]
-
-
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior probability of toxic for each row by EM. The given labels are one more voter, whose
-    error rates are estimated with those of the others."""
-    factor = correlated_factors(votes, given)
-    joined = np.zeros((len(votes), factor.max(initial=-1) + 1))
-    for f in range(joined.shape[1]):
-        joined[:, f] = votes[:, factor == f].max(axis=1)
-    all_votes = np.column_stack([joined, given])
-    p = np.clip(given.astype(float), 0.05, 0.95)
-    for _ in range(rounds):
-        toxic, clean = p.sum() + 1, (1 - p).sum() + 1
-        hit = np.clip((p @ all_votes + 0.5) / (toxic + 1), 1e-4, 1 - 1e-4)
-        miss = np.clip(((1 - p) @ all_votes + 0.05) / (clean + 1), 1e-4, 1 - 1e-4)
-        odds = np.log(toxic / clean) + all_votes @ np.log(hit / miss) + (1 - all_votes) @ np.log((1 - hit) / (1 - miss))
+def dependence_tree(votes: np.ndarray, p: np.ndarray, least: float = 0.02) -> np.ndarray:
+    """The parent of each voter, or -1, in the tree (forest) of the strongest dependences given the class.
+
+    A pair's strength is its mutual information given the class, as that of normal variables of the same
+    correlations; pairs below `least` stay apart.
+    """
+    strength = np.zeros((votes.shape[1], votes.shape[1]))
+    for w in (p, 1 - p):
+        total = w.sum() + 1e-9
+        mean = w @ votes / total
+        joint = (votes * w[:, None]).T @ votes / total - np.outer(mean, mean)
+        spread = np.sqrt(np.clip(np.diag(joint), 1e-12, None))
+        strength -= total / len(p) * np.log1p(-np.clip((joint / np.outer(spread, spread)) ** 2, 0, 0.9999)) / 2
+    parent = np.full(votes.shape[1], -1)
+    best, source, out = np.full(votes.shape[1], least), np.full(votes.shape[1], -1), np.zeros(votes.shape[1], bool)
+    for _ in range(votes.shape[1]):
+        at = int(np.where(out, -1.0, best).argmax())
+        out[at], parent[at] = True, source[at]
+        closer = ~out & (strength[at] > best)
+        best[closer], source[closer] = strength[at][closer], at
+    return parent
+
+
+def class_rates(votes: np.ndarray, above: np.ndarray, both: np.ndarray, w: np.ndarray, extra: float) -> np.ndarray:
+    """(2, voters): how often each votes in a class of row weights w, where its parent abstains and where it votes."""
+    total, up, hit, with_up = w.sum(), w @ above, w @ votes, w @ both
+    rates = np.stack([(hit - with_up + extra) / (total - up + 1), (with_up + extra) / (up + 1)])
+    return np.clip(rates, 1e-4, 1 - 1e-4)
+
+
+def log_odds(votes: np.ndarray, above: np.ndarray, both: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Sum over voters of the log ratio of what they do in the two classes, given their parents' votes."""
+    on, off = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
+    return votes @ (on[0] - off[0]) + above @ (off[1] - off[0]) + both @ (on[1] - on[0] - off[1] + off[0]) + off[0].sum()
+
+
+def label_model(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Posterior probability of toxic for each row by EM over a latent class, without any given label.
+
+    Each voter's rates depend on the class and on the vote of its parent in the dependence tree, which
+    is estimated with them: voters that say the same count once. It starts from whether anybody votes.
+    """
+    votes = votes.astype(np.float32)
+    p = np.where(votes.any(axis=1), 0.9, 0.02)
+    above, both = np.zeros_like(votes), np.zeros_like(votes)
+    for k in range(rounds):
+        if k in (4, 10, 16):
+            parent = dependence_tree(votes, p)
+            above = np.where(parent >= 0, votes[:, parent], 0).astype(np.float32)
+            both = above * votes
+        toxic, clean = class_rates(votes, above, both, p, 0.5), class_rates(votes, above, both, 1 - p, 0.05)
+        odds = np.log((p.sum() + 1) / ((1 - p).sum() + 1)) + log_odds(votes, above, both, toxic, clean)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
@@ -151,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if not len(seen) or seen["toxic"].nunique() < 2:
         return voters, np.where(np.arange(len(voters.names)) < len(base), 4.0, 0.0), -2.0
     counts = np.frombuffer(b"".join(seen["counts"]), np.uint8).reshape(len(seen), -1)
-    posterior = label_model((counts > 0).astype(np.float64), seen["toxic"].to_numpy(np.float64))
+    posterior = label_model(counts > 0)
     weights, intercept = fit_linear(features(counts), posterior)
     return voters, weights, intercept
 
