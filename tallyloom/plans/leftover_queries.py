@@ -70,10 +70,10 @@ def unused_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that no charge fits with unread charges that fit no line."""
+    """Lines that no charge fits with charges of unread kinds."""
     options, unique, edges = _pools(spark, sf_dir)
     lines = options.where("pos = 0").join(edges, m.LINE_KEYS, "left_anti")
-    unread = unique.where("role = 'charge' AND document_kind IN ('unknown', 'invoice')").join(edges, m.COMPONENT_KEYS, "left_anti")
+    unread = unique.where("role = 'charge' AND document_kind IN ('unknown', 'invoice')")
     return lo.review_pairing(lines, unread)
 
 
@@ -223,7 +223,7 @@ ORACLE_SQL = {
         , a AS (SELECT statement_id, merchant_key, line_key, row_number() OVER (PARTITION BY statement_id, merchant_key ORDER BY line_key) AS k
                 FROM options AS o WHERE pos = 0 AND {NO_EDGE.format('o', 'line_key')}
         ), b AS (SELECT statement_id, merchant_key, receipt_id, row_number() OVER (PARTITION BY statement_id, merchant_key ORDER BY receipt_order) AS k
-                 FROM uniq AS u WHERE role = 'charge' AND document_kind IN ('unknown', 'invoice') AND {NO_EDGE.format('u', 'component_key')})
+                 FROM uniq AS u WHERE role = 'charge' AND document_kind IN ('unknown', 'invoice'))
         SELECT a.statement_id, a.line_key, b.receipt_id FROM a JOIN b ON a.statement_id = b.statement_id AND a.merchant_key = b.merchant_key AND a.k = b.k""",
     "evidence_calc": POOLS + """
         SELECT e.statement_id, e.line_key, concat(u.signed_amount, ' = ', u.signed_amount, ' ', u.currency) AS calculation
@@ -235,6 +235,22 @@ ORACLE_SQL = {
         ), top AS (SELECT *, row_number() OVER (PARTITION BY line_key ORDER BY user_id, change_id, evidence_key) AS n,
                           min(user_id) OVER (PARTITION BY line_key) AS lo, max(user_id) OVER (PARTITION BY line_key) AS hi FROM ranked WHERE core = 1)
         SELECT line_key, change_id, evidence_key, user_id FROM top WHERE n = 1 AND lo = hi""",
+    "plan_change_alloc": PLAN.replace("WITH ", "WITH RECURSIVE ", 1) + """
+        , ranked AS (SELECT *, rank() OVER (PARTITION BY line_key ORDER BY end_days, unnamed, billing_days, -confidence, quality) AS core FROM scored
+        ), top AS (SELECT *, row_number() OVER (PARTITION BY line_key ORDER BY user_id, change_id, evidence_key) AS n,
+                          min(user_id) OVER (PARTITION BY line_key) AS lo, max(user_id) OVER (PARTITION BY line_key) AS hi FROM ranked WHERE core = 1
+        ), best AS (SELECT l.statement_id, l.merchant_key, t.line_key, t.change_id, t.evidence_key, t.user_id,
+                           row_number() OVER (PARTITION BY l.statement_id, l.merchant_key ORDER BY end_days, unnamed, billing_days, -confidence, l.sequence, t.line_key, change_id, evidence_key) AS k
+                    FROM top AS t JOIN fx_lines AS l ON l.line_key = t.line_key WHERE t.n = 1 AND lo = hi
+        ), walk AS (
+            SELECT statement_id, merchant_key, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS changes, CAST([] AS BIGINT[]) AS olds, false AS taken FROM best WHERE k = 1
+            UNION ALL
+            SELECT b.statement_id, b.merchant_key, b.k, CASE WHEN free THEN list_append(changes, b.change_id) ELSE changes END, CASE WHEN free THEN list_append(olds, b.evidence_key) ELSE olds END, free
+            FROM (SELECT w.*, b.change_id, b.evidence_key, b.k AS at, NOT list_contains(w.changes, b.change_id) AND NOT list_contains(w.olds, b.evidence_key) AS free
+                  FROM walk AS w JOIN best AS b ON b.statement_id = w.statement_id AND b.merchant_key = w.merchant_key AND b.k = w.k + 1) AS s
+            JOIN best AS b ON b.statement_id = s.statement_id AND b.merchant_key = s.merchant_key AND b.k = s.at
+        )
+        SELECT b.line_key, b.change_id, b.evidence_key, b.user_id FROM walk AS w JOIN best AS b ON b.statement_id = w.statement_id AND b.merchant_key = w.merchant_key AND b.k = w.k WHERE w.taken""",
     "review_status": REVIEWED + "SELECT * FROM reviewed",
     "review_counts": REVIEWED + "SELECT status, count(*) AS receipts, sum(needs_review) AS needs_review FROM reviewed GROUP BY status",
     "extraction_counters": AVAILABLE + "\nSELECT receipt_month, count(*) AS receipts, " + ", ".join(

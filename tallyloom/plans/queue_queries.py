@@ -56,8 +56,9 @@ def claim_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users for whom no service was ever registered."""
-    return q.missing_profiles(view(spark, sf_dir, "fx_users"), view(spark, sf_dir, "fx_services").select("user_id"))
+    """Users without a profile row: here, those that registered no service of the metered kind themselves."""
+    own = view(spark, sf_dir, "fx_services").where("registration_source = 'user' AND billing_type = 'metered' AND NOT is_active")
+    return q.missing_profiles(view(spark, sf_dir, "fx_users"), own.select("user_id"))
 
 
 def service_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,8 @@ ORACLE_SQL = {
         SELECT receipt_id, state FROM fx_review WHERE available AND (state = 'queued' OR (state = 'processing' AND issued_on < DATE '1995-06-01'))
         ORDER BY issued_on, receipt_id LIMIT 500""",
     "missing_profiles": with_clause("fx_users", "fx_services") + """
-        SELECT user_id, 'active' AS account_status FROM fx_users WHERE user_id NOT IN (SELECT user_id FROM fx_services)""",
+        SELECT user_id, 'active' AS account_status FROM fx_users
+        WHERE user_id NOT IN (SELECT user_id FROM fx_services WHERE registration_source = 'user' AND billing_type = 'metered' AND NOT is_active)""",
     "service_changes": with_clause("fx_services") + """
         SELECT service_id, registration_source, deactivation_source FROM fx_services WHERE registration_source = 'user' OR deactivation_source = 'user'""",
 }
