@@ -40,8 +40,8 @@ def declaration_conflicts(matched: DataFrame, declarations: DataFrame) -> DataFr
 
 
 def reminders_of_days(days: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Days with the kind of reminder that runs then; schedule is one row."""
-    return days.join(F.broadcast(schedule.limit(1)), F.lit(True)).select("d", reminder_kind(F.col("d"), F.col("reminder_day"), F.col("warning_day")).alias("kind")).where("kind IS NOT NULL")
+    """Days with the kind of reminder that runs then; of several schedules the earliest days count."""
+    return days.join(F.broadcast(schedule.orderBy("reminder_day", "warning_day").limit(1)), F.lit(True)).select("d", reminder_kind(F.col("d"), F.col("reminder_day"), F.col("warning_day")).alias("kind")).where("kind IS NOT NULL")
 
 
 def missing_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
