@@ -9,14 +9,17 @@ from .ann import nearest
 from .chat import DEMO_SCHEMAS, calls_of_conversations, link_tool_calls
 from .common import read_table
 from .exact_dedup import exact_classes
+from .lexical import lexical_ranking
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality_rules import quality_verdicts
 from .secrets import secret_report
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import public_vocabulary
 from .toxicity import toxicity_scores
 from .warc import archive_digest
+from .whitening import whiten
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_ranking(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_tool_calls": op2_tool_calls,
     "op4_toxicity": op4_toxicity,
@@ -70,6 +85,9 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -165,4 +183,31 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_lexical_search": r"""
+        WITH items AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) AS i
+            GROUP BY item_id, term
+        ), words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), counts AS (
+            SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+        ), sizes AS (
+            SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id
+        ), totals AS (
+            SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term, n_docs
+        ), scores AS (
+            SELECT i.item_id, c.doc_id,
+                   sum(i.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (75 + (25 * s.n * t.n_docs) // t.n_terms)))) AS score
+            FROM items AS i JOIN counts AS c ON c.term = i.term JOIN weights AS w ON w.term = i.term JOIN sizes AS s ON s.doc_id = c.doc_id, totals AS t
+            GROUP BY i.item_id, c.doc_id
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) AS r
+        WHERE rank <= 20
+    """,
 }
