@@ -9,19 +9,16 @@ related_transaction_id. Amounts are decimals and are compared exactly.
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import staged
+from .assignment import assign_by_counts
 from .exclusive import greedy_choice, numbered_rows
 
 TOLERANCE_DAYS = 1
-#: Receipt places of one bucket when evidence is numbered, and edges that one task solves.
-INDEX_BUCKET, BLOCK_EDGES = 4096, 20_000
+#: Receipt places of one bucket when evidence is numbered.
+INDEX_BUCKET = 4096
 COMPONENT_KEYS = ["statement_id", "component_key"]
 LINE_KEYS = ["statement_id", "line_key"]
 
@@ -36,16 +33,20 @@ def quality_rank(role: Column, kind: Column) -> Column:
     return F.when(paid, 0).when(kind == "refund", 1).when(kind == "invoice", 2).otherwise(3)
 
 
-def amount_options(lines: DataFrame) -> DataFrame:
-    """One row per amount that a line can be matched by: pos 0 is the foreign amount if there is one."""
+def option_list() -> Column:
+    """The amounts that a line can be matched by, the foreign one first if there is one."""
     foreign = F.when(
         F.col("original_amount").isNotNull() & (F.coalesce(F.col("original_currency"), F.lit("")) != ""),
         F.struct(F.col("original_amount").alias("amount"), F.upper("original_currency").alias("currency"), F.lit("original").alias("basis")),
     )
     home = F.when(F.col("amount_jpy").isNotNull(), F.struct(F.col("amount_jpy").alias("amount"), F.lit("JPY").alias("currency"), F.lit("jpy").alias("basis")))
     same = (foreign["amount"] == home["amount"]) & (foreign["currency"] == home["currency"])
-    options = F.array_compact(F.array(foreign, F.when(~F.coalesce(same, F.lit(False)), home)))
-    return lines.select("*", F.posexplode(options).alias("pos", "option")).select("*", "option.*").drop("option")
+    return F.array_compact(F.array(foreign, F.when(~F.coalesce(same, F.lit(False)), home)))
+
+
+def amount_options(lines: DataFrame) -> DataFrame:
+    """One row per amount that a line can be matched by: pos 0 is the foreign amount if there is one."""
+    return lines.select("*", F.posexplode(option_list()).alias("pos", "option")).select("*", "option.*").drop("option")
 
 
 def dedup_identity() -> Column:
@@ -116,116 +117,9 @@ def uncontested(edges: DataFrame) -> DataFrame:
     return with_degrees(edges).where("line_degree = 1 AND piece_degree = 1").drop("line_degree", "piece_degree")
 
 
-def cheapest_assignment(rows: list[list[tuple[int, int]]], columns: int) -> list[int]:
-    """Column of each row, or -1, in an assignment of the most rows at least total cost.
-
-    rows lists each row's (column, cost) edges. Each row in turn takes the shortest augmenting path over
-    dual prices, along edges only; a column of its own, dearer than any set of edges, leaves it open.
-    """
-    dearest = 1 + sum(max((c for _, c in row), default=0) for row in rows)
-    edges = [[*row, (columns + i, dearest)] for i, row in enumerate(rows)]
-    owner: dict[int, int] = {}
-    choice = [-1] * len(rows)
-    row_price, col_price = [0] * len(rows), {}
-    for start in range(len(rows)):
-        best, came, done = {}, {}, {}
-        heap: list[tuple[int, int]] = []
-        at, reach = start, 0
-        while True:
-            for j, cost in edges[at]:
-                if j not in done:
-                    d = reach + cost - row_price[at] - col_price.get(j, 0)
-                    if j not in best or d < best[j]:
-                        best[j], came[j] = d, at
-                        heapq.heappush(heap, (d, j))
-            while True:
-                reach, end = heapq.heappop(heap)
-                if end not in done and best[end] == reach:
-                    break
-            done[end] = reach
-            if end not in owner:
-                break
-            at = owner[end]
-        row_price[start] += reach
-        for j, d in done.items():
-            col_price[j] = col_price.get(j, 0) + d - reach
-            if j in owner:
-                row_price[owner[j]] += reach - d
-        while True:
-            row = came[end]
-            owner[end] = row
-            choice[row], end = end, choice[row]
-            if row == start:
-                break
-    return [j if j < columns else -1 for j in choice]
-
-
-def solve_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The edges of some islands that make the most pairs, and among those the least days, quality and
-    place in the evidence, in sum. Connected parts of the edges are solved on their own."""
-    rows = rows.sort_values(["sequence", "line_key", "component_index"], kind="stable").reset_index(drop=True)
-    i, lines = pd.factorize(pd.MultiIndex.from_frame(rows[LINE_KEYS]))
-    j, pieces = pd.factorize(pd.MultiIndex.from_frame(rows[COMPONENT_KEYS]))
-    part = np.arange(len(lines))
-    while True:  # each line takes the smallest label among those that share a piece with it
-        of_piece = np.full(len(pieces), len(lines))
-        np.minimum.at(of_piece, j, part[i])
-        new = part.copy()
-        np.minimum.at(new, i, of_piece[j])
-        new = new[new]
-        if (new == part).all():
-            break
-        part = new
-    # whole numbers of any length, so that no sum of places reaches quality, nor one of quality days
-    costs = [(d << 80) + (q << 40) + k for d, q, k in zip(*(rows[c].tolist() for c in ("days", "quality", "component_index")), strict=True)]
-    order = np.argsort(part[i], kind="stable")
-    chosen = []
-    for at in np.split(order, np.flatnonzero(np.diff(part[i][order])) + 1):
-        of_row: dict[int, list] = {}
-        names = {k: n for n, k in enumerate(dict.fromkeys(j[at].tolist()))}
-        for k in at.tolist():
-            of_row.setdefault(int(i[k]), []).append(k)
-        found = cheapest_assignment([[(names[int(j[k])], costs[k]) for k in edges] for edges in of_row.values()], len(names))
-        for edges, column in zip(of_row.values(), found, strict=True):
-            chosen += [k for k in edges if names[int(j[k])] == column]
-    return rows.iloc[sorted(chosen)]
-
-
-def direct_assign(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
-    """The edges of a one-to-one assignment: most pairs first; then least days, quality and places.
-
-    Edges that compete with no other are final, and so is the best edge of a star, whose other edges
-    all end in lines or charges of no other edge. The rest falls into islands: edges of a statement and merchant, and of
-    one amount where no line has edges of two, whose days follow each other with gaps of at most one
-    day. No edge leaves an island. Many islands go to one task, some `block_edges` edges at a time.
-    """
-    degrees = with_degrees(edges)
-    line, piece = Window.partitionBy(*LINE_KEYS), Window.partitionBy(*COMPONENT_KEYS)
-    around = degrees.withColumn("line_busy", F.max("piece_degree").over(line)).withColumn("piece_busy", F.max("line_degree").over(piece))
-    # a star around a line, or around a charge: all its other ends have this edge only
-    star = F.when(F.col("line_busy") == 1, 1).when(F.col("piece_busy") == 1, 2).otherwise(0)
-    rank = [F.col(c) for c in ("days", "quality", "component_index", "sequence", "line_key", "component_key")]
-    best = F.when(F.col("star") == 1, F.row_number().over(line.orderBy(*rank))).otherwise(F.row_number().over(piece.orderBy(*rank)))
-    ranked = staged(around.withColumn("star", star).withColumn("best", best), "degrees")
-    sure = ranked.where("star > 0 AND best = 1").select(edges.columns)
-    open_edges = ranked.where("star = 0").select(edges.columns)
-    low, high = F.least("line_date", "event_date"), F.greatest("line_date", "event_date")
-    mixed = F.max("two").over(Window.partitionBy("statement_id", "merchant_key")) > 0
-    keyed = open_edges.withColumn("low", low).withColumn("high", high).withColumn("two", (F.min("amount").over(line) != F.max("amount").over(line)).cast("int"))
-    keyed = keyed.withColumn("purse", F.when(~mixed, F.concat_ws(" ", "currency", F.col("amount").cast("string"))).otherwise("")).drop("two")
-    keys = ["statement_id", "merchant_key", "purse"]
-    order = Window.partitionBy(*keys).orderBy("low", "high", "line_key", "component_key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # edges meet only through a common line or charge, whose day lies within both edges
-    islands = (
-        keyed.withColumn("starts", (F.col("low") > F.max("high").over(before)).cast("int"))
-        .withColumn("island", F.sum(F.coalesce("starts", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("low", "high", "starts")
-    )
-    blocks = max(1, -(-open_edges.count() // block_edges))
-    dealt = islands.withColumn("block", F.pmod(F.xxhash64(*keys, "island"), F.lit(blocks))).drop("island", "purse")
-    solved = dealt.groupBy("block").applyInPandas(solve_block, dealt.schema).drop("block")
-    return sure.unionByName(solved)
+def direct_assign(lines: DataFrame, unique: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """A one-to-one choice among the pairs of direct_edges: most pairs first; then least days, quality and places."""
+    return assign_by_counts(lines, unique, option_list(), tolerance)
 
 
 def match_type(document_kind: Column) -> Column:
@@ -296,7 +190,7 @@ def refund_net_assign(candidates: DataFrame) -> DataFrame:
     order = ["statement_id", "merchant_key", "sequence", "line_key", F.size("refund_keys"), "charge_days", "worst", "quality", "receipt_order", "charge_key", "refund_keys"]
     name = lambda kind, key: F.concat_ws("|", F.lit(kind), F.col("statement_id").cast("string"), key.cast("string"))
     pieces = F.transform(F.concat(F.array("charge_key"), "refund_keys"), lambda k: name("piece", k))
-    return greedy_choice(candidates, [c if isinstance(c, Column) else F.col(c) for c in order], F.concat(F.array(name("line", F.col("line_key"))), pieces))
+    return greedy_choice(candidates, [c if isinstance(c, Column) else F.col(c) for c in order], F.concat(F.array(name("line", F.col("line_key"))), pieces), ["statement_id", "merchant_key"])
 
 
 def _without(evidence: DataFrame, used: DataFrame) -> DataFrame:
@@ -311,7 +205,7 @@ def reconcile(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     options, unique = staged(amount_options(lines), "options"), staged(unique_evidence(evidence), "evidence")
     columns = ["statement_id", "merchant_key", "line_key", "match_type", "basis", "component_keys"]
-    direct = direct_assign(staged(direct_edges(options, unique), "edges"))
+    direct = direct_assign(lines, unique)
     found = staged(
         direct.select("statement_id", "merchant_key", "line_key", match_type(F.col("document_kind")).alias("match_type"), "basis", F.array("component_key").alias("component_keys")),
         "direct",

@@ -64,4 +64,4 @@ def plan_change_alloc(best: DataFrame) -> DataFrame:
     order = [*CORE[:4], "sequence", "line_key", "change_id", "evidence_key"]
     name = lambda kind, key: F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in ("statement_id", "merchant_key", key)])
     names = F.array(name("line", "line_key"), name("change", "change_id"), name("old", "evidence_key"))
-    return greedy_choice(best, [F.col("statement_id"), F.col("merchant_key"), *[F.col(c) for c in order]], names)
+    return greedy_choice(best, [F.col("statement_id"), F.col("merchant_key"), *[F.col(c) for c in order]], names, ["statement_id", "merchant_key"])

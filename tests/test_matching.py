@@ -1,14 +1,19 @@
 """The literal scenarios of one-to-one matching, netting and plan changes, and brute force on small blocks."""
 
 import datetime as dt
-import itertools
+import time
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.operators import assignment as a
+from tallyloom.operators import exclusive as e
 from tallyloom.operators import matching as m
 from tallyloom.operators import plan_change as p
+from tallyloom.operators.parts import connected_parts
 
 LINE = "statement_id int, line_key string, sequence int, line_date date, merchant_key string, original_amount decimal(14,2), original_currency string, amount_jpy decimal(14,2)"
 PIECE = (
@@ -78,43 +83,152 @@ def test_evidence_is_the_same_only_by_reference(spark, pieces, kept):
     assert {r["component_key"] for r in m.unique_evidence(spark.createDataFrame(pieces, PIECE)).collect()} == kept
 
 
-def test_assignment_against_brute_force():
+def random_problem(rng):
+    purses = ["A", "B"]
+    lines = [(int(rng.integers(1, 6)), set(rng.choice(purses, int(rng.integers(1, 3)))), int(rng.integers(1, 4))) for _ in range(int(rng.integers(1, 4)))]
+    charges = []
+    for _ in range(int(rng.integers(1, 5))):
+        steps = [[int(rng.integers(0, 4)), int(rng.integers(1, 3))] for _ in range(int(rng.integers(1, 4)))]
+        charges.append((int(rng.integers(1, 6)), str(rng.choice(purses)), sorted(map(tuple, steps))))
+    return lines, charges
+
+
+def cheapest_pairs(rows, columns, cost):
+    """(-pairs, cost) of the best one-to-one choice, by trying every one."""
+    states = {0: (0, 0)}
+    for i in range(rows):
+        after = dict(states)
+        for used, (pairs, price) in states.items():
+            for j in range(columns):
+                if not used >> j & 1 and cost(i, j) is not None:
+                    new = (pairs - 1, price + cost(i, j))
+                    if used | 1 << j not in after or new < after[used | 1 << j]:
+                        after[used | 1 << j] = new
+        states = after
+    return min(states.values())
+
+
+def test_flows_against_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        n, columns = int(rng.integers(1, 5)), int(rng.integers(1, 6))
-        rows = [[(j, int(rng.integers(0, 20))) for j in range(columns) if rng.random() < 0.6] for _ in range(n)]
-        found = m.cheapest_assignment(rows, columns)
-        total = lambda pick: (-sum(j >= 0 for j in pick), sum(dict(r)[j] for r, j in zip(rows, pick, strict=True) if j >= 0))
-        every = itertools.product(*[[-1, *[j for j, _ in r]] for r in rows])
-        best = min(total(p) for p in every if len({j for j in p if j >= 0}) == sum(j >= 0 for j in p))
-        assert len({j for j in found if j >= 0}) == sum(j >= 0 for j in found) and total(found) == best
+    for _ in range(150):
+        lines, charges = random_problem(rng)
+        units = [(day, purses) for day, purses, n in lines for _ in range(n)]
+        singles = [(day, purse, cost) for day, purse, steps in charges for cost, n in steps for _ in range(n)]
+        if len(singles) > 11:
+            continue
+        price = lambda i, j: (abs(units[i][0] - singles[j][0]) << a.DAY) + singles[j][2] if singles[j][1] in units[i][1] and abs(units[i][0] - singles[j][0]) <= 1 else None  # noqa: B023, E731
+        flow = a.cheapest_flow(lines, charges, 1)
+        spent = sum(abs(lines[i][0] - charges[j][0]) * n << a.DAY for (i, j), n in flow.items())
+        for j, (_, _, steps) in enumerate(charges):
+            taken = sum(n for (_, k), n in flow.items() if k == j)
+            spent += sum([cost for cost, n in steps for _ in range(n)][:taken])
+        assert all(sum(n for (k, _), n in flow.items() if k == i) <= lines[i][2] for i in range(len(lines)))
+        assert all(charges[j][1] in lines[i][1] and n > 0 for (i, j), n in flow.items())
+        assert (-sum(flow.values()), spent) == cheapest_pairs(len(units), len(singles), price)
 
 
 def test_a_large_merchant_is_solved(spark):
     lines = [(1, f"L{i}", i, day(1 + i % 28), "M", Decimal(20), "USD", None) for i in range(1500)]
     pieces = [piece(f"C{i}", 1 + (i * 5) % 28, "20", i, merchant="M") for i in range(1400)]
-    edges = m.direct_edges(m.amount_options(spark.createDataFrame(lines, LINE)), m.unique_evidence(spark.createDataFrame(pieces, PIECE)))
-    found = m.direct_assign(edges).toPandas()
+    found = m.direct_assign(spark.createDataFrame(lines, LINE), m.unique_evidence(spark.createDataFrame(pieces, PIECE))).toPandas()
     assert len(found) == found.line_key.nunique() == found.component_key.nunique() == 1400
 
 
+def test_a_hundred_thousand_equal_lines_are_matched(spark):
+    """One merchant and amount over 28 days: ten thousand million pairs that nobody lists."""
+    n = 100_000
+    at = F.date_add(F.lit("2026-07-01").cast("date"), (F.col("id") % 28).cast("int"))
+    lines = spark.range(n).select(
+        F.lit(1).alias("statement_id"), F.concat(F.lit("L"), "id").alias("line_key"), F.col("id").cast("int").alias("sequence"), at.alias("line_date"), F.lit("M").alias("merchant_key"),
+        F.lit(20).cast("decimal(14,2)").alias("original_amount"), F.lit("USD").alias("original_currency"), F.lit(None).cast("decimal(14,2)").alias("amount_jpy"),
+    )
+    unique = spark.range(n).select(
+        F.lit(1).alias("statement_id"), F.concat(F.lit("C"), "id").alias("component_key"), F.lit("M").alias("merchant_key"), F.lit(20).cast("decimal(14,2)").alias("signed_amount"), F.lit("USD").alias("currency"),
+        F.date_add(F.lit("2026-07-01").cast("date"), ((F.col("id") * F.col("id")) % 28).cast("int")).alias("event_date"), F.lit("charge").alias("role"), F.lit("charge").alias("document_kind"),
+        (F.col("id") % 3).cast("int").alias("quality"), F.col("id").cast("int").alias("component_index"),
+    )
+    began = time.time()
+    found = m.direct_assign(lines, unique).select("line_key", "component_key", "days").toPandas()
+    assert len(found) == found.line_key.nunique() == found.component_key.nunique() and found.days.max() <= 1
+    took = time.time() - began
+    # the most pairs: each day's charges take free lines of the day before, then of the day, then of the day after
+    asked, given = (np.bincount(v % 28, minlength=28) for v in (np.arange(n), np.arange(n) ** 2))
+    most, free = 0, asked.tolist()
+    for d in range(28):
+        need = int(given[d])
+        for k in range(max(d - 1, 0), min(d + 2, 28)):
+            used = min(need, free[k])
+            free[k], need, most = free[k] - used, need - used, most + used
+    assert took < 60 and len(found) == most
+
+
 def test_random_blocks_have_most_pairs_at_least_cost(spark):
     rng = np.random.default_rng(1)
     lines, pieces = [], []
-    for block in range(25):
-        for i in range(int(rng.integers(1, 5))):
-            lines.append((block, f"L{i}", i, day(int(rng.integers(8, 13))), "M", Decimal(int(rng.integers(1, 3))), "USD", None))
-        for i in range(int(rng.integers(1, 5))):
-            pieces.append((block, *piece(f"C{i}", int(rng.integers(8, 13)), str(rng.integers(1, 3)), i, merchant="M")[1:]))
-    edges = m.direct_edges(m.amount_options(spark.createDataFrame(lines, LINE)), m.unique_evidence(spark.createDataFrame(pieces, PIECE)))
-    found = m.direct_assign(edges).toPandas().groupby("statement_id").cost.agg(["size", "sum"])
-    for block, rows in edges.toPandas().groupby("statement_id"):
-        pairs = list(zip(rows.line_key, rows.component_key, rows.cost, strict=True))
-        sets = [s for k in range(len(pairs) + 1) for s in itertools.combinations(pairs, k)] if len(pairs) < 13 else []
-        fair = [s for s in sets if len({x[0] for x in s}) == len(s) == len({x[1] for x in s})]
-        if fair:
-            best = min((-len(s), sum(x[2] for x in s)) for s in fair)
-            assert (-found.loc[block, "size"], found.loc[block, "sum"]) == best
+    for block in range(60):
+        for i in range(int(rng.integers(1, 6))):
+            both = rng.random() < 0.4
+            lines.append((block, f"L{i}", i, day(int(rng.integers(8, 13))), "M", Decimal(int(rng.integers(1, 3))), "USD", Decimal(int(rng.integers(1, 3)) * 100) if both else None))
+        for i in range(int(rng.integers(1, 7))):
+            home = rng.random() < 0.3
+            amount = str(rng.integers(1, 3) * (100 if home else 1))
+            kind = ("charge", "invoice", "unknown")[int(rng.integers(0, 3))]
+            pieces.append((block, *piece(f"C{i}", int(rng.integers(8, 13)), amount, i, merchant="M", kind=kind, currency="JPY" if home else "USD")[1:]))
+    lines, unique = spark.createDataFrame(lines, LINE), m.unique_evidence(spark.createDataFrame(pieces, PIECE))
+    edges = m.direct_edges(m.amount_options(lines), unique).toPandas()
+    for steps in (1024, 1):
+        rows = a.assign_by_counts(lines, unique, m.option_list(), 1, steps=steps).toPandas()
+        merged = rows.merge(edges, on=["statement_id", "line_key", "component_key"], suffixes=("", "_e"))
+        assert len(merged) == len(rows) and (merged.cost == merged.cost_e).all() and (merged.basis == merged.basis_e).all()
+        assert not rows.duplicated(["statement_id", "line_key"]).any() and not rows.duplicated(["statement_id", "component_key"]).any()
+        for block, part in edges.groupby("statement_id"):
+            price = {(x.line_key, x.component_key): (x.days << 80) + (x.quality << 40) + (x.component_index if steps > 1 else 0) for x in part.itertuples()}
+            left, right = sorted({k for k, _ in price}), sorted({k for _, k in price})
+            mine = rows[rows.statement_id == block]
+            spent = sum((x.days << 80) + (x.quality << 40) + (x.component_index if steps > 1 else 0) for x in mine.itertuples())
+            assert (-len(mine), spent) == cheapest_pairs(len(left), len(right), lambda i, j: price.get((left[i], right[j])))  # noqa: B023
+
+
+def walked(rows):
+    used, taken = set(), []
+    for at, names in sorted(rows):
+        if used.isdisjoint(names):
+            used.update(names)
+            taken.append(at)
+    return taken
+
+
+@pytest.mark.parametrize("block", [1_000, 40, 4])
+def test_greedy_choices_equal_a_walk(spark, block):
+    """Whole scopes, connected parts and rounds give the same choice."""
+    rng = np.random.default_rng(block)
+    rows = [(int(k), int(s), sorted({f"{s}:{x}" for x in rng.integers(0, width, 3)})) for k, s, width in zip(rng.permutation(400), rng.choice([0, 0, 0, 1, 2], 400), rng.choice([5, 400, 2000], 400), strict=True)]
+    df = spark.createDataFrame(rows, "at int, scope int, names array<string>").repartition(3)
+    found = e.greedy_choice(df, [F.col("at")], F.col("names"), ["scope"], block)
+    assert found.columns == df.columns and sorted(r["at"] for r in found.collect()) == walked([(at, names) for at, _, names in rows])
+    assert e.greedy_choice(df.limit(0), [F.col("at")], F.col("names"), ["scope"], block).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    rows = spark.range(10_000).select("id", F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("names"), F.lit(1).alias("scope"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    found = {r["id"] for r in e.greedy_choice(rows, [F.col("id")], F.col("names"), ["scope"]).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == set(range(0, 10_000, 2)) and jobs <= 10
+    beyond = {r["id"] for r in e.greedy_choice(rows.where("id < 60"), [F.col("id")], F.col("names"), ["scope"], 20).collect()}
+    assert beyond == set(range(0, 60, 2))
+
+
+def test_places_and_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if k > 7 else int(k), int(v)) for k, v in zip(rng.choice([1, 1, 1, 1, 2, 9], 500), rng.permutation(500), strict=True)]
+    got = e.placed_rows(spark.createDataFrame(rows, "k int, v int").repartition(7), ["k"], [F.col("v")], "n").collect()
+    for key in (None, 1, 2):
+        values = sorted(v for k, v in rows if k == key)
+        assert {(r["v"], r["n"]) for r in got if r["k"] == key} == {(v, n) for n, v in enumerate(values, 1)}
+    edges = [(5, 6), (6, 7), (1, 2), (2, 1), (9, 9), (3, None), (20, 10), (10, 15), (15, 30)]
+    assert {tuple(r) for r in connected_parts(spark.createDataFrame(edges, "a int, b int")).collect()} == {(5, 5), (6, 5), (7, 5), (1, 1), (2, 1), (20, 10), (10, 10), (15, 10), (30, 10)}
 
 
 CHANGE = "change_id int, user_id int, merchant_key string, previous_plan string, change_date date, previous_plan_end date, confidence double"
