@@ -126,5 +126,6 @@ def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     if not twice.limit(1).count():
         return marked
     alone = marked.join(twice, match, "left_anti")
-    again = marked.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"])
+    body = unused_name(docs, "body")
+    again = marked.join(twice, match, "left_semi").withColumn(body, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", body]).drop(body)
     return alone.unionByName(again)

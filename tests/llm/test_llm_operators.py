@@ -87,6 +87,12 @@ def test_exact_copies_are_dropped(docs, empty):
     assert exact_dedup.exact_classes(empty).count() == exact_dedup.drop_exact_copies(empty).count() == 0
 
 
+def test_null_and_empty_texts_are_copies(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (1, "", "c"), (2, "x", "d"), (2, "x", "e"), (None, None, "f")], "doc_id long, text string, _body_0 string")
+    out = exact_dedup.drop_exact_copies(df).collect()
+    assert sorted(plain(r["text"]) for r in out) == ["", "x"] and {r["doc_id"] for r in out} == {1, 2}
+
+
 # SimHash
 
 
@@ -352,6 +358,27 @@ def test_toxicity_learns_words_and_beginnings(spark, docs, empty):
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
+def test_labels_of_the_held_out_fold_teach_nothing(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ta", "ko", "ri", "mu") for b in ("lan", "ser", "vok", "din", "pex")]
+    data = [(i, " ".join([*(rng.choice(words) for _ in range(20)), *(["zorkan"] if i % 4 == 0 else ["brelig"] if rng.random() < 0.1 else [])])) for i in range(400)]
+    data += [(3, "another text of the same id zorkan"), (3, "a third text")]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    marks = [(i, int(i % 4 == 0)) for i in range(400)]
+    turned = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in marks]
+    scores = [toxicity.toxicity_scores(t, spark.createDataFrame(m, "doc_id long, toxic int")).toPandas().sort_values(["doc_id", "score"]).score.to_numpy() for t, m in ((table, marks), (table.repartition(3), turned))]
+    assert np.array_equal(*scores) and (scores[0] > 0.5).sum() == 101
+
+
+def test_voters_of_half_accuracy_do_no_harm():
+    rng = np.random.default_rng(6)
+    truth = rng.random(4000) < 0.2
+    own = np.where(truth[:, None], rng.random((4000, 8)) < 0.6, rng.random((4000, 8)) < 0.02)
+    noise = rng.random((4000, 3)) < 0.1
+    for votes in (own, np.column_stack([own, noise])):
+        assert ((toxicity.label_model(votes) > 0.5) == truth).mean() > 0.97
+
+
 def test_odds_are_those_of_every_vote_given_its_parent():
     rng = np.random.default_rng(2)
     votes = (rng.random((60, 7)) < 0.3).astype(np.float32)
