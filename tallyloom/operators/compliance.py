@@ -32,18 +32,22 @@ def services_in_scope(services: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def service_month_status(services: DataFrame, months: DataFrame, receipts: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Uploadable services per month with status uploaded, no_usage, api_pending or missing."""
+    """Uploadable services per month with status uploaded, no_usage, api_pending or missing.
+
+    What a service has in each month is a map beside the service, and months are looked up in it where they
+    are listed: services, receipts and declarations meet by service, and the product with the months is never shuffled.
+    """
     has = receipts.where("service_id IS NOT NULL").groupBy("service_id", "receipt_month").agg(
         F.bool_or(available(F.col("file"), F.col("file_deleted"))).alias("has_receipt"), F.count(F.lit(1)).alias("receipts")
     )
-    said = declarations.select("service_id", "receipt_month").distinct().withColumn("declared", F.lit(True))
+    by_month = F.map_from_entries(F.collect_list(F.struct("receipt_month", F.struct("has_receipt", "receipts")))).alias("has")
+    said = declarations.groupBy("service_id").agg(F.collect_set("receipt_month").alias("said"))
+    known = services.where("uses_p_card").join(has.groupBy("service_id").agg(by_month), "service_id", "left").join(said, "service_id", "left")
+    at = F.try_element_at("has", F.col("receipt_month"))
+    declared = F.coalesce(F.array_contains("said", F.col("receipt_month")), F.lit(False))
     metered = F.col("billing_type") == "metered"
-    status = F.when(F.col("has_receipt"), "uploaded").when(metered & F.col("declared"), "no_usage").when(metered, "api_pending").otherwise("missing")
-    keys = ["service_id", "receipt_month"]
-    return (
-        services_in_scope(services.where("uses_p_card"), months).join(has, keys, "left").join(said, keys, "left")
-        .withColumn("status", status).withColumn("receipts", F.coalesce("receipts", F.lit(0)))
-    )
+    status = F.when(at["has_receipt"], "uploaded").when(metered & declared, "no_usage").when(metered, "api_pending").otherwise("missing")
+    return services_in_scope(known, months).withColumn("status", status).withColumn("receipts", F.coalesce(at["receipts"], F.lit(0))).drop("has", "said")
 
 
 def user_month_summary(status: DataFrame, scope: DataFrame) -> DataFrame:

@@ -70,10 +70,9 @@ VIEWS = {
     "fx_declarations": """
         SELECT DISTINCT o_custkey AS user_id, o_custkey * 100000 + o_orderkey % (SELECT count(*) FROM {supplier}) AS service_id,
                CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS receipt_month
-        FROM {orders} WHERE o_orderkey % 5 = 0""",
+        FROM {orders}""",
     "fx_months": """
-        SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS receipt_month FROM fx_base
-        WHERE d >= DATE '1997-11-01' AND d < DATE '1998-04-01'""",
+        SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS receipt_month FROM fx_base""",
     "fx_names": """
         SELECT s_suppkey AS name_id, CASE s_suppkey % 6 WHEN 0 THEN upper(s_name) WHEN 1 THEN lower(concat('alt ', s_name))
                    WHEN 2 THEN concat('*', s_name, ' / TOKYO') WHEN 3 THEN concat('Supply ', s_suppkey, ' works')
