@@ -237,8 +237,13 @@ def append_once(memo: Column, note: str, most: int = 2000) -> Column:
 
 def amount_text(amount: Column) -> Column:
     """A whole number without places, else two places without trailing zeros."""
-    plain = F.regexp_replace(amount.cast("decimal(14,2)").cast("string"), r"\.?0+$", "")
-    return F.when(amount == F.floor(amount), amount.cast("long").cast("string")).otherwise(plain)
+    return F.when(amount == F.floor(amount), amount.cast("long").cast("string")).otherwise(plain_number(amount.cast("decimal(14,2)")))
+
+
+def plain_number(amount: Column) -> Column:
+    """A decimal of any scale without trailing zeros behind the point; null stays null."""
+    told = amount.cast("decimal(38,4)").cast("string")
+    return F.regexp_replace(told, r"\.?0+$", "")
 
 
 def receipt_filename(day: Column, user: Column, payee: Column, amount: Column, currency: Column, extension: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import extract as x
 from tallyloom.functions import text as t
+from tallyloom.functions.text import plain_number
 from tallyloom.operators import extraction as ex
+from tallyloom.operators.leftovers import evidence_calculation
 
 UPGRADE = """Receipt
 Anthropic, PBC
@@ -87,3 +89,18 @@ def test_names_for_files(spark):
     assert df.select(name.alias("n")).first().n == "260703_Ann_Open_AI_12.5_USD.pdf"
     got = df.select(t.append_once(F.lit("a"), "b").alias("x"), t.append_once(F.lit("a b"), "b").alias("y"), t.strip_memo(F.lit("own【m】rest"), "【m】").alias("z"), t.recipient_name(F.lit("Bill to: Ann")).alias("r")).first()
     assert (got.x, got.y, got.z, got.r) == ("a\nb", "a b", "own", "Ann")
+
+
+def test_japanese_labels_end_at_a_word(spark):
+    """支払額合計 is not the label 支払額: the sum below counts."""
+    texts = ["支払額合計 ¥900\n合計: ¥1,200", "支払額 ¥900\n合計: ¥1,200", "支払済額: ¥700", "領収金額計 ¥5\n領収金額　¥6", "支払い金額¥8"]
+    got = [r["a"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", x.total_amount(F.col("text"))["amount"].alias("a")).orderBy("k").collect()]
+    assert [float(a) for a in got] == [1200, 900, 700, 6, 8]
+
+
+def test_numbers_of_any_scale(spark):
+    rows = spark.sql("SELECT CAST(1500 AS DECIMAL(14,0)) AS a, CAST(12.50 AS DECIMAL(14,2)) AS b, CAST(0 AS DECIMAL(14,2)) AS c, CAST(100 AS DECIMAL(14,2)) AS d, CAST(NULL AS DECIMAL(14,2)) AS e, CAST(0.1250 AS DECIMAL(8,4)) AS f")
+    assert rows.select(*[plain_number(F.col(n)).alias(n) for n in rows.columns]).first() == ("1500", "12.5", "0", "100", None, "0.125")
+    matched = spark.createDataFrame([(1, "L", ["c", "r"])], "statement_id int, line_key string, component_keys array<string>")
+    evidence = spark.sql("SELECT 1 AS statement_id, 'c' AS component_key, CAST(1500 AS DECIMAL(14,0)) AS signed_amount, 'JPY' AS currency UNION ALL SELECT 1, 'r', CAST(-100 AS DECIMAL(14,0)), 'JPY'")
+    assert evidence_calculation(matched, evidence).first()["calculation"] == "1500 - 100 = 1400 JPY"
