@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.stages import staged
+from .containment import contained_texts
 
 
 def catalog_aliases(catalog: DataFrame) -> DataFrame:
@@ -18,23 +20,17 @@ def catalog_aliases(catalog: DataFrame) -> DataFrame:
 def catalog_strength(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """names (text) against aliases: text, catalog_id, strength 4 equal, 3 contained, 2 related.
 
-    Each way to match has a join of its own, so no name meets every alias: equal texts join on the
-    text, shared tokens on the token, and containment on windows of the shorter text's length, for the
-    lengths that texts on the other side have. Work on distinct names: there are far fewer than lines.
+    Each way to match has a join of its own, so no name meets every alias: equal texts join on the text, shared
+    tokens on the token, and containment is what automata over the shorter texts find. Work on distinct names: there are far fewer than lines.
     """
-    left = names.select("text").distinct().withColumn("a", t.normal_text(F.col("text"))).where("a <> ''")
-    right = aliases.select("catalog_id", "alias").withColumn("b", t.normal_text(F.col("alias"))).where("b <> ''")
-    equal = left.join(right, F.col("a") == F.col("b"))
-    exact = equal.select("text", "catalog_id", F.lit(4).alias("strength")).unionByName(equal.where("length(a) < 3").select("text", "catalog_id", F.lit(4).alias("strength")))
+    left = staged(names.select("text").distinct().withColumn("a", t.normal_text(F.col("text"))).where("a <> ''"), "names")
+    right = staged(aliases.select("catalog_id", "alias").withColumn("b", t.normal_text(F.col("alias"))).where("b <> ''"), "aliases")
+    exact = left.join(right, F.col("a") == F.col("b")).select("text", "catalog_id", F.lit(4).alias("strength"))
 
     def contained(long: DataFrame, key: str, short: DataFrame, other: str) -> DataFrame:
-        sizes = short.where(F.length(other) >= 5).groupBy().agg(F.collect_set(F.length(other)).alias("sizes"))
-        cut = F.explode(F.array_distinct(F.flatten(F.transform(
-            F.filter("sizes", lambda n: n < F.length(key)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(F.col(key), i, n)),
-        ))))
-        windows = long.join(F.broadcast(sizes), F.lit(True)).withColumn("cut", cut).drop("sizes")
-        return windows.join(short, F.col("cut") == F.col(other)).withColumn("strength", F.when(F.length(other) >= 8, 3).otherwise(2)).select("text", "catalog_id", "strength")
+        hits = contained_texts(long.select(F.col(key).alias("value")), short.where(F.length(other) >= 5).select(F.col(other).alias("value")))
+        met = hits.withColumnRenamed("text", "_long").join(long, F.col("_long") == F.col(key)).join(short, F.col("pattern") == F.col(other))
+        return met.withColumn("strength", F.when(F.length(other) >= 8, 3).otherwise(2)).select("text", "catalog_id", "strength")
 
     inside = contained(left, "a", right, "b").unionByName(contained(right, "b", left, "a"))
     tokens = left.select("text", F.explode(t.identity_tokens(F.col("text"))).alias("token")).join(

@@ -47,3 +47,42 @@ def test_messages_of_a_stream_go_out_once(spark, tmp_path):
     spark.createDataFrame([(1, month, "a@x.example", False), (3, month, "c@x.example", False)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = arrivals.run_outbox(*args).collect()
     assert sorted((r.idempotency_key, r.status) for r in got) == [("initial:2026-07:user-1:a@x.example", "sent"), ("initial:2026-07:user-2:b@x.example", "skipped"), ("initial:2026-07:user-3:c@x.example", "sent")]
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """Work goes with the batch: ten thousand receipts are held, three come, and two rows are written."""
+    source, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    spark.range(10_000).select(F.concat(F.lit("r"), "id").alias("receipt_id"), "id", F.lit(5).cast("long").alias("updated_at"), F.lit("2026-07").alias("period_month")).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    args = (spark, source, schema, table, f"{tmp_path}/checkpoint")
+    assert arrivals.run_arrivals(*args).count() == 10_000
+    late = [("r7", 20_000, 9, "2026-08"), ("r8", 20_001, 1, "2026-09"), ("new", 20_002, 1, "2026-07")]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    out = arrivals.run_arrivals(*args)
+    changed = arrivals.changes_of(spark, schema, table, 1).collect()
+    assert {(r["receipt_id"], r["period_month"], r["month_before"]) for r in changed} == {("r7", "2026-08", "2026-07"), ("new", "2026-07", None)}
+    assert out.count() == 10_001 and out.where("receipt_id = 'r7'").first()["period_month"] == "2026-08"
+    statements = spark.createDataFrame([(1, "2026-07", "completed"), (2, "2026-08", "completed"), (3, "2026-09", "completed")], "statement_id int, period_month string, status string")
+    assert sorted(r["statement_id"] for r in arrivals.due_statements(statements, arrivals.changes_of(spark, schema, table, 1).where("receipt_id = 'r7'")).collect()) == [1, 2]
+    assert arrivals.compact(spark, schema, table) == 2 and arrivals.compact(spark, schema, table) == 0
+    folded = arrivals.stored_receipts(spark, schema, table)
+    assert folded.count() == 10_001 and folded.where("receipt_id = 'r7'").first()["period_month"] == "2026-08"
+    spark.createDataFrame([("r8", 30_000, 10, "2026-06")], schema).coalesce(1).write.mode("append").parquet(source)
+    again = arrivals.run_arrivals(*args)
+    assert again.count() == 10_001 and again.where("receipt_id = 'r8'").first()["period_month"] == "2026-06"
+
+
+def test_a_batch_reads_the_log_of_its_keys(spark, tmp_path):
+    """Ten keys against a log in all folders: under one in a hundred of its files is read."""
+    log = f"{tmp_path}/log"
+    keys = spark.range(100_000).select(F.concat(F.lit("old:"), "id").alias("idempotency_key"), F.lit("sent").alias("status"), F.lit(-1).cast("long").alias("batch"))
+    keys.withColumn("bucket", arrivals.log_bucket()).repartition(4, "bucket").write.partitionBy("bucket").parquet(log)
+    few = sorted(r["bucket"] for r in keys.limit(10).select(arrivals.log_bucket().alias("bucket")).distinct().collect())
+    every = spark.read.parquet(log)
+    some = every.where(F.col("bucket").isin(few))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert some.select(F.input_file_name()).distinct().count() <= 10 and len(every.inputFiles()) == arrivals.LOG_BUCKETS and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket), ", "")
+    schema = "user_id long, receipt_month date, email string, stopped boolean"
+    spark.createDataFrame([(k, dt.date(2026, 6, 1), "a@x.example", False) for k in range(10)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    args = (spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, log, f"{tmp_path}/checkpoint", "initial")
+    assert arrivals.run_outbox(*args).count() == 100_010 and arrivals.run_outbox(*args).count() == 100_010
