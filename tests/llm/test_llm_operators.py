@@ -514,7 +514,7 @@ def test_recall_on_the_given_vectors_whatever_the_files(spark):
         distance = np.where(ids == q, np.inf, np.sqrt(((wide - x[q]) ** 2).sum(axis=1)))
         hits += len(set(ids[np.lexsort((ids, distance))[:10]]) & set(part.vec_id))
         total += 10
-    assert hits >= 0.9 * total  # with an eighth of the shipped shortlist
+    assert hits >= 0.9 * total  # with fewer rows than the shipped shortlist
     again = ann.nearest(table.repartition(13), F.col("vec_id") % 100 == 0, shortlist=60).toPandas()
     key = lambda f: sorted(map(tuple, f[["query_id", "rank", "vec_id"]].to_numpy().tolist()))
     assert key(got) == key(again)
