@@ -21,7 +21,7 @@ VIEWS |= {
         FROM fx_review""",
     "fx_files": """
         SELECT receipt_id, CASE WHEN is_extra THEN 'extra' ELSE 'receipt' END AS kind, file, file_deleted, CAST(issued_on + INTERVAL 3 MONTH AS TIMESTAMP) AS expires_at FROM fx_receipts""",
-    "fx_wishes": """
+    "fx_exceptions": """
         SELECT o_orderkey AS request_id, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'NAME ' ELSE 'name ' END || CAST(o_orderkey % 5 AS VARCHAR(9)) AS service_name,
                CASE o_orderkey % 3 WHEN 0 THEN 'metered' ELSE 'subscription' END AS billing_type, CASE o_orderkey % 4 WHEN 0 THEN 'approved' ELSE 'pending' END AS status
         FROM {orders}""",
@@ -77,12 +77,12 @@ def managed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys that must be unique, counted in one aggregation."""
-    at = {n: view(spark, sf_dir, f"fx_{n}") for n in ("catalog", "services", "wishes", "submissions", "declarations", "items_used", "accounts")}
+    at = {n: view(spark, sf_dir, f"fx_{n}") for n in ("catalog", "services", "exceptions", "submissions", "declarations", "items_used", "accounts")}
     col = F.col
     return st.repeated_keys({
         "catalog": (at["catalog"], {"catalog": (None, [F.lower(F.substring("name", 1, 16)), col("billing_type")])}),
         "services": (at["services"], {"service": (None, [col("user_id"), F.lower(F.substring("name", 1, 9)), col("billing_type")])}),
-        "wishes": (at["wishes"], {"pending request": (col("status") == "pending", [F.lower("service_name"), col("user_id"), col("billing_type")])}),
+        "exceptions": (at["exceptions"], {"pending request": (col("status") == "pending", [F.lower("service_name"), col("user_id"), col("billing_type")])}),
         "submissions": (at["submissions"], {"submission": (None, [col("user_id"), F.trunc("period_month", "quarter")])}),
         "declarations": (at["declarations"], {"declaration": (None, [col("user_id"), col("service_id"), F.trunc("receipt_month", "year")])}),
         "items": (at["items_used"], {
@@ -222,9 +222,9 @@ ORACLE_SQL = {
     "managed_receipts": with_clause("fx_receipts", "fx_users") + """
         SELECT r.receipt_id, r.user_id, r.receipt_month, CASE WHEN u.is_active THEN 1 ELSE 0 END AS user_active
         FROM fx_receipts AS r, fx_users AS u WHERE u.user_id = r.user_id AND NOT u.is_staff""",
-    "key_audit": with_clause("fx_catalog", "fx_services", "fx_wishes", "fx_submissions", "fx_declarations", "fx_items_used", "fx_accounts") + " UNION ALL ".join((
+    "key_audit": with_clause("fx_catalog", "fx_services", "fx_exceptions", "fx_submissions", "fx_declarations", "fx_items_used", "fx_accounts") + " UNION ALL ".join((
         _repeats("catalog", "fx_catalog", ["lower(substr(name, 1, 16))", "billing_type"]), _repeats("service", "fx_services", ["user_id", "lower(substr(name, 1, 9))", "billing_type"]),
-        _repeats("pending request", "fx_wishes", ["lower(service_name)", "user_id", "billing_type"], "status = 'pending'"),
+        _repeats("pending request", "fx_exceptions", ["lower(service_name)", "user_id", "billing_type"], "status = 'pending'"),
         _repeats("submission", "fx_submissions", ["user_id", "CAST(date_trunc('quarter', period_month) AS DATE)"]),
         _repeats("declaration", "fx_declarations", ["user_id", "service_id", "CAST(date_trunc('year', receipt_month) AS DATE)"]), _repeats("inference of an item", "fx_items_used", ["item_key"]),
         _repeats("evidence", "fx_items_used", ["item_key", "receipt_id", "component_key"]), _repeats("message", "fx_items_used", ["idempotency_key"], "idempotency_key IS NOT NULL"),
