@@ -15,6 +15,11 @@ def shift_months(day: Column, months: int | Column) -> Column:
     return F.add_months(day, months)
 
 
+def target_month(as_of: Column, offset: int | Column = 0) -> Column:
+    """The first of the month that a reminder on the day as_of is about, `offset` months on."""
+    return F.add_months(F.trunc(as_of, "month"), offset)
+
+
 def receipt_month_of_submission(month: Column) -> Column:
     return F.add_months(month_of(month), -1)
 

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
+from ..functions import text as t
+from ..operators import changes as ch
 from ..operators import compliance as c
 from ..operators import incremental as inc
+from ..operators import matching as m
+from ..operators import queues as q
+from ..operators import requests as rq
 from ..operators import review as rv
 from ..operators import statistics as st
 from ..sources.stages import staged
 from . import queue_queries  # noqa: F401  it adds the views of requests and statements
 from .compliance_queries import ALL, AS_OF, HISTORY, _flags, _history
 from .fixtures import VIEWS, view, with_clause
+from .matching_queries import DEDUP, EDGES, OPTIONS
 
 VIEWS |= {
     "fx_checked": """
@@ -139,11 +146,53 @@ def statement_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.statement_changes(staged(inc.statement_digests(lines, evidence), "digests"), staged(then, "digests-before"))
 
 
+def removed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that is left after the removal of stopped users, with the user it names now."""
+    users, services, submissions, declarations, receipts = (view(spark, sf_dir, f"fx_{n}") for n in ("users", "services", "submissions", "declarations", "receipts"))
+    out = ch.remove_users(users.where("account_status = 'stopped'"), {"services": services, "submissions": submissions, "declarations": declarations}, {"receipts": receipts})
+    keys = {"services": ["service_id"], "submissions": ["user_id", "period_month"], "declarations": ["service_id", "receipt_month"], "receipts": ["receipt_id"]}
+    parts = [df.select(F.lit(name).alias("name"), F.concat_ws("|", *keys[name]).alias("key"), "user_id") for name, df in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def deleted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests without those of months in which nothing has been submitted."""
+    requests = view(spark, sf_dir, "fx_requests").withColumnRenamed("receipt_month", "period_month")
+    months = view(spark, sf_dir, "fx_submissions").groupBy("period_month").agg(F.count_if(F.col("status") == "submitted").alias("n")).where("n < 5").select("period_month")
+    return rq.delete_requests(requests, months).select("request_id", "period_month")
+
+
+def memo_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memo = F.when(F.col("line_key") % 3 == 0, "note").when(F.col("line_key") % 3 == 1, F.concat(F.lit("memo "), "line_key"))
+    return view(spark, sf_dir, "fx_lines").select("line_key", t.append_once(memo, "note", 12).alias("memo"))
+
+
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = view(spark, sf_dir, "fx_users")
+    email = F.when(F.col("user_id") % 3 > 0, F.col("email"))
+    name = F.when(F.col("user_id") % 2 == 0, F.concat("username", F.lit("@x.example"))).otherwise(F.col("username"))
+    return users.select("user_id", t.contact_address(email, name).alias("address"))
+
+
+def target_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = view(spark, sf_dir, "fx_base").select("d").distinct()
+    return days.select("d", cal.target_month(F.col("d")).alias("this_month"), cal.target_month(F.col("d"), -1).alias("last_month"), cal.target_month(F.col("d"), F.dayofmonth("d") % 5).alias("later"))
+
+
+def matched_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of no usage for services and months whose receipt a line has matched."""
+    edges = m.direct_edges(m.amount_options(view(spark, sf_dir, "fx_lines")), m.unique_evidence(view(spark, sf_dir, "fx_evidence")))
+    receipts = view(spark, sf_dir, "fx_receipts").select(F.col("receipt_id").alias("component_key"), "service_id", "receipt_month")
+    matched = m.uncontested(staged(edges, "edges")).join(receipts, "component_key")
+    return q.declaration_conflicts(matched, view(spark, sf_dir, "fx_declarations")).select("user_id", "service_id", "receipt_month")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         month_statistics, own_history, submission_list, resubmission_rows, open_resubmissions, active_assignments, offered_catalogs, managed_receipts, key_audit, reference_audit,
-        purge_batches, filtered_reviews, review_flags, marked_statements, statement_changes,
+        purge_batches, filtered_reviews, review_flags, marked_statements, statement_changes, removed_users, deleted_requests, memo_notes,
+        contacts, target_months, matched_conflicts,
     )
 }
 
@@ -263,4 +312,24 @@ ORACLE_SQL = {
     "statement_changes": with_clause("fx_lines", "fx_evidence") + """
         SELECT DISTINCT statement_id, CASE WHEN statement_id >= 199809 THEN 'new' ELSE 'changed' END AS change
         FROM (SELECT statement_id FROM fx_lines WHERE statement_id >= 199809 UNION ALL SELECT statement_id FROM fx_evidence WHERE statement_id >= 199809 OR document_kind = 'unknown') AS x""",
+    "removed_users": with_clause("fx_users", "fx_services", "fx_submissions", "fx_declarations", "fx_receipts") + """
+        , gone AS (SELECT user_id FROM fx_users WHERE account_status = 'stopped')
+        SELECT 'services' AS name, CAST(service_id AS VARCHAR) AS key, user_id FROM fx_services WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'submissions', concat_ws('|', user_id, period_month), user_id FROM fx_submissions WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'declarations', concat_ws('|', service_id, receipt_month), user_id FROM fx_declarations WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'receipts', CAST(receipt_id AS VARCHAR), CASE WHEN user_id NOT IN (SELECT user_id FROM gone) THEN user_id END FROM fx_receipts""",
+    "deleted_requests": with_clause("fx_requests", "fx_submissions") + """
+        SELECT request_id, receipt_month AS period_month FROM fx_requests
+        WHERE receipt_month NOT IN (SELECT period_month FROM fx_submissions GROUP BY period_month HAVING count(*) FILTER (status = 'submitted') < 5)""",
+    "memo_notes": with_clause("fx_lines") + """
+        SELECT line_key, CASE line_key % 3 WHEN 1 THEN substr(concat('memo ', line_key, chr(10), 'note'), 1, 12) ELSE 'note' END AS memo FROM fx_lines""",
+    "contacts": with_clause("fx_users") + """
+        SELECT user_id, CASE WHEN user_id % 3 > 0 THEN email WHEN user_id % 2 = 0 THEN concat(username, '@x.example') ELSE '' END AS address FROM fx_users""",
+    "target_months": with_clause("fx_base") + """
+        SELECT DISTINCT d, CAST(date_trunc('month', d) AS DATE) AS this_month, CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE) AS last_month,
+               CAST(date_trunc('month', d) + to_months(CAST(day(d) % 5 AS INTEGER)) AS DATE) AS later FROM fx_base""",
+    "matched_conflicts": with_clause("fx_lines", "fx_evidence", "fx_receipts", "fx_declarations") + DEDUP.lstrip() + OPTIONS + EDGES + """
+        , alone AS (SELECT component_key FROM (SELECT *, count(*) OVER (PARTITION BY statement_id, line_key) AS ld, count(*) OVER (PARTITION BY statement_id, component_key) AS pd FROM edges) AS e WHERE ld = 1 AND pd = 1)
+        SELECT user_id, service_id, receipt_month FROM fx_declarations AS d
+        WHERE EXISTS (SELECT 1 FROM fx_receipts AS r JOIN alone AS a ON a.component_key = r.receipt_id WHERE r.service_id = d.service_id AND r.receipt_month = d.receipt_month)""",
 }
