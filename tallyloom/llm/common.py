@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,10 @@ def unused_name(df: DataFrame, stem: str = "own") -> str:
     """A column name that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
     return next(name for k in range(len(taken) + 1) if (name := f"_{stem}_{k}") not in taken)
+
+
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, memory that Arrow holds for later goes back to the system, as workers outlive their tasks."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()

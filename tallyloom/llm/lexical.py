@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize
+from .common import given_back, materialize
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +68,7 @@ def term_counts(docs: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = re.compile(TERM).findall, index.value.terms
         lower = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
-        for batch in batches:
+        for batch in given_back(batches):
             rows, sizes, terms, times = [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 words = find((text.as_py() or "").translate(lower))
@@ -143,7 +143,7 @@ def best_of_tasks(counts: DataFrame, index, weights, n_docs: int, n_terms: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = index.value, weights.value
         heaps = Heaps(len(own.items), top)
-        for batch in batches:
+        for batch in given_back(batches):
             lists, times = batch.column("terms"), batch.column("times").flatten().to_numpy().astype(np.int64)
             terms, docs = lists.flatten().to_numpy().astype(np.int64), batch.column("doc_id").to_pylist()
             per_row = np.diff(lists.offsets.to_numpy())

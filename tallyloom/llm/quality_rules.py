@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import given_back, materialize
 from .toxicity import held_out
 
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +81,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of each whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             table = np.array([counts_of(v.as_py() or b"") for v in batch.column("body")], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in table.T.copy())], ["doc_id", *COUNTS])
 

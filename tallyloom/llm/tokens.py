@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import given_back
+
 END_ID = 0
 #: Bytes of text that are encoded together, and the most distinct pieces that a worker remembers.
 SLICE_BYTES, MEMO_PIECES = 1 << 24, 1 << 21
@@ -161,7 +163,7 @@ def encoder(path: str) -> ChunkEncoder:
 
 def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, text: str = "body") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most SLICE_BYTES of text (or one row), and their ids as of ChunkEncoder.encode."""
-    for batch in batches:
+    for batch in given_back(batches):
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0
         while at < len(sizes):
@@ -170,6 +172,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, text: str = "bod
             part = batch.slice(at, stop - at)
             yield part, *encoder(vocabulary).encode(part.column(text))
             at = stop
+            pa.default_memory_pool().release_unused()
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

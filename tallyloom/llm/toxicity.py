@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import given_back, materialize, text_or_empty
 
 #: Insults that vote whatever the labels say.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -231,8 +231,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters(names)
-        for batch in batches:
-            odds = np.array([float(features(own.counts(t)) @ weights) + intercept for t in batch.column("body").to_pylist()])
+        for batch in given_back(batches):
+            odds = np.array([float(features(own.counts(t.as_py())) @ weights) + intercept for t in batch.column("body")])
             score = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -256,8 +256,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Voters(names)
-        for batch in batches:
-            odds = np.array([float(features(own.counts(t or "")) @ weights) + intercept for t in batch.column("text").to_pylist()])
+        for batch in given_back(batches):
+            odds = np.array([float(features(own.counts(t.as_py() or "")) @ weights) + intercept for t in batch.column("text")])
             yield batch.filter(pa.array(odds < 0, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
