@@ -18,7 +18,11 @@ VARIANT_TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN",
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON with sorted keys and without spaces, null if text is no JSON."""
+    """JSON with sorted keys and without spaces, null if text is no JSON or repeats a key in an object.
+
+    Plain decimals lose trailing zeros (1.0 and 1.50 become 1 and 1.5), whole numbers keep all digits, -0 is 0, and
+    numbers with an exponent are doubles (1e3 becomes 1000.0).
+    """
     return F.to_json(F.try_parse_json(text))
 
 
@@ -120,7 +124,8 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, n
     uses). A call is at level 2 * depth, its result at the next; plain messages are at level 0 and keep
     their turns. Of calls that share an id the earliest is linked, others are "duplicate"; a result
     without call is "orphan", a call without result "unanswered", a call on a cycle "cyclic" (level -1).
-    Null ids link to nothing; null contents and empty texts are empty strings in the JSON.
+    Null ids link to nothing; null contents and empty texts are empty strings in the JSON. Rows that repeat
+    stay rows of their own. Any table may be empty; columns beyond those named are not read, whatever their names.
     """
     order = F.struct("turn", "arguments", "name")
     named = calls.where("call_id IS NOT NULL AND conv_id IS NOT NULL")

@@ -164,5 +164,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces of all documents with their places. Other columns than doc_id and text are not read."""
+    """Pieces of all documents with their places. Other columns than doc_id and text are not read.
+
+    A null or empty text is one piece, of its end id alone; repeated rows and rows without doc_id are
+    pieces of their own; texts longer than a sequence are cut; an empty table gives an empty result.
+    """
     return pack_pieces(materialize(pieces_of(docs, vocabulary, capacity), "pieces"), capacity, group_pieces)

@@ -177,7 +177,8 @@ def assemble_captures(records: DataFrame) -> DataFrame:
 
     Requests and metadata meet their response or revisit through concurrent-to; a revisit meets the
     response it refers to, `original`, which is the answer itself otherwise. Captures without request
-    or metadata have nulls there; requests and metadata of no capture are left out.
+    or metadata have nulls there; requests and metadata of no capture are left out. Records without id
+    are in no capture; no records give no captures; columns beyond those of the archives are not read.
     """
 
     def of(kind: str, name: str) -> DataFrame:

@@ -628,3 +628,20 @@ def test_plain_conversations_with_odd_rows(spark):
     got = chat.link_tool_calls(*chat.calls_of_conversations(turns), chat.DEMO_SCHEMAS)
     assert got.count() == 6
     assert chat.link_tool_calls(*chat.calls_of_conversations(turns.limit(0)), chat.DEMO_SCHEMAS).count() == 0
+
+
+def test_tool_calls_of_empty_and_wide_tables(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "find"), (1, 1, "assistant", "found"), (1, 1, "assistant", "found"), (1, 2, "system", None)], "conv_id long, turn long, role string, text string")
+    wide = turns.select("*", *[F.lit("own").alias(c) for c in ("depth", "level", "n", "f", "need", "call_id", "status", "json")])
+    tables = chat.calls_of_conversations(wide)
+    want = sorted(map(str, chat.link_tool_calls(*chat.calls_of_conversations(turns), chat.DEMO_SCHEMAS).collect()))
+    assert sorted(map(str, chat.link_tool_calls(*tables, chat.DEMO_SCHEMAS).collect())) == want and len(want) == 4
+    for gone in range(4):
+        parts = [t.limit(0) if k == gone else t for k, t in enumerate(tables)]
+        assert chat.link_tool_calls(*parts, chat.DEMO_SCHEMAS).count() == 4 - (1, 1, 2, 0)[gone]
+
+
+def test_canonical_numbers_and_keys(spark):
+    told = {'{"b": 1.0, "a": 1e3}': '{"a":1000.0,"b":1}', '{"a":1.50,"b":-0}': '{"a":1.5,"b":0}', '{"a":1,"a":2}': None, "nope": None, '{"x":12345678901234567890123}': '{"x":12345678901234567890123}', '{"a":{"d":null,"c":true}}': '{"a":{"c":true,"d":null}}'}
+    got = spark.createDataFrame([(t,) for t in told], "t string").select("t", chat.canonical_json(F.col("t")).alias("j")).collect()
+    assert {r["t"]: r["j"] for r in got} == told
