@@ -15,10 +15,10 @@ from .matching_queries import BOTH, DEDUP, EDGES, OPTIONS, reconciled
 VIEWS |= {
     "fx_changes": """
         SELECT rk AS change_id, o_custkey AS user_id, l_suppkey AS merchant_key,
-               CASE o_custkey % 3 WHEN 0 THEN 'Pro plan' WHEN 1 THEN 'Team' ELSE '' END AS previous_plan,
+               CASE WHEN l_partkey % 6 <> 0 THEN '' WHEN o_custkey % 3 = 0 THEN 'Pro plan' WHEN o_custkey % 3 = 1 THEN 'Team' ELSE '' END AS previous_plan,
                CASE WHEN l_partkey % 4 <> 0 THEN d + CAST(-(l_partkey % 3) AS INTEGER) END AS change_date, d AS previous_plan_end,
                (700 + l_partkey % 30 * 10) / 1000 AS confidence
-        FROM fx_base JOIN {orders} ON l_orderkey = o_orderkey WHERE l_partkey % 6 = 0""",
+        FROM fx_base JOIN {orders} ON l_orderkey = o_orderkey""",
     "fx_history": """
         SELECT rk AS evidence_key, CASE WHEN l_partkey % 5 <> 0 THEN o_custkey END AS user_id, l_suppkey AS merchant_key,
                CASE WHEN l_partkey % 5 = 0 OR l_partkey % 7 = 0 THEN '' WHEN o_custkey % 3 = 0 THEN 'Claude Pro' ELSE 'Team Annual' END AS plan_name,

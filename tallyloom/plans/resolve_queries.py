@@ -73,10 +73,11 @@ def build_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bill_to_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mail addresses of documents against users who are known by them: every second address."""
+    """The mail addresses of documents against users who are known by them; those of odd first documents have no address of their own."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = documents.select("doc_id", t.first_email(F.col("text")).alias("email")).where("email <> '' AND doc_id % 2 = 0")
+    seen = documents.select("doc_id", t.first_email(F.col("text")).alias("email")).where("email <> ''")
     users = seen.groupBy("email").agg(F.min("doc_id").alias("user_id")).withColumn("username", F.concat(F.lit("login"), "user_id"))
+    users = users.withColumn("email", F.when(F.col("user_id") % 2 == 0, F.col("email")))
     return r.bill_to_user(documents, users)
 
 
@@ -181,7 +182,7 @@ ORACLE_SQL = {
                CASE WHEN bits % 3 = 0 THEN '.5' ELSE '' END, '_', currency, '.pdf') AS filename FROM fx_receipts""",
     "bill_to_user": f"""
         WITH found AS (SELECT doc_id, {EMAIL} AS address FROM documents),
-             users AS (SELECT address, min(doc_id) AS user_id FROM found WHERE address <> '' AND doc_id % 2 = 0 GROUP BY address)
+             users AS (SELECT address, min(doc_id) AS user_id FROM found WHERE address <> '' GROUP BY address HAVING min(doc_id) % 2 = 0)
         SELECT f.doc_id, f.address, u.user_id FROM found AS f LEFT JOIN users AS u ON u.address = f.address WHERE f.address <> ''""",
     "user_lookup": with_clause("fx_users") + """
         SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN concat('u', o_custkey, '@EXAMPLE.com') ELSE concat('U', o_custkey) END AS address, u.user_id
