@@ -23,8 +23,8 @@ SUBSPACE = 2
 PARALLEL_WEIGHT = 4.0
 SAMPLE_ROWS = 8192
 QUERY_BLOCK = 4096
-#: Rows of the whole table that each query ranks exactly: a hundredth of it, within these bounds.
-LEAST_RANKED, MOST_RANKED = 100, 480
+#: Rows of the whole table that each query ranks exactly.
+SHORTLIST = 160
 #: Sampled rows whose scores bound what a scan must report.
 BOUND_ROWS = 4096
 INDEX_SCHEMA = "vec_id long, codes binary, half_norm double, vector binary"
@@ -202,7 +202,7 @@ def _search_block(index: DataFrame, book: Codebooks, sample: np.ndarray, names:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = SHORTLIST, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by Euclidean distance for each query row.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
@@ -210,15 +210,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int |
     of queries with equal vec_id the smallest vector by bytes asks. Ties go to the smaller vec_id; a
     table without usable vectors gives an empty result. Queries go through the scan in blocks, so what
     is broadcast is bounded whatever the number of queries. shortlist is how many rows of the whole table
-    each query ranks exactly; without it, a hundredth of them between LEAST_RANKED and MOST_RANKED.
+    each query ranks exactly.
     """
     spark = vectors.sparkSession
     index, book, sample = build_index(vectors.where("vec_id IS NOT NULL"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if book is None:
         return empty
-    if shortlist is None:
-        shortlist = min(max(index.count() // 100, LEAST_RANKED), MOST_RANKED)
     chosen = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-chosen.count() // query_block))
     out = None
