@@ -1,10 +1,10 @@
-"""Nearest neighbours by score-aware anisotropic product quantisation.
+"""Nearest neighbours by score-aware anisotropic product quantisation, with an exact check.
 
-The nearest row by Euclidean distance has the largest q.x - |x|^2 / 2, an inner product whose second
-term is kept exactly. Codebooks of 16 centres a subspace (four-bit codes) are fitted to a loss that
-weighs the residual along the vector, which distorts large inner products, above the rest. Tables of
-query and centre products score all codes of a scan. The best rows of the whole table by these scores
-are fetched by a join and ranked by exact distances, so the result depends on neither files nor batches.
+Codebooks of 16 centres a subspace (four-bit codes) are fitted to a loss that weighs the residual along
+the vector, which distorts large inner products, above the rest. Tables of query and centre products give
+the product of a query with each row's code. With the row's length along its code and off it, which the index
+keeps, that product bounds the distance from below. Rows whose bound is not above the k-th
+distance found so far get their exact distance, so no nearest row is left out, whatever the vectors.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ SUBSPACE = 2
 PARALLEL_WEIGHT = 4.0
 SAMPLE_ROWS = 8192
 QUERY_BLOCK = 4096
-#: Rows of the whole table that each query ranks exactly.
+#: Rows of a batch that each query ranks exactly before the bounds decide about the rest.
 SHORTLIST = 160
-#: Sampled rows whose scores bound what a scan must report.
-BOUND_ROWS = 4096
-INDEX_SCHEMA = "vec_id long, codes binary, half_norm double, vector binary"
+#: Rows that are scored, and pairs that are ranked exactly, in one step.
+SCAN_ROWS, EXACT_ROWS = 4096, 8192
+#: Room for rounding in bounds, as a part of the lengths that meet in them.
+ROUNDING = 1e-12
+INDEX_SCHEMA = "vec_id long, codes binary, along double, across double, vector binary"
 
 
 def usable(vector: Column) -> Column:
@@ -96,19 +98,24 @@ class Codebooks:
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Products of each query with each centre: (queries, subspaces, CENTRES)."""
-        return np.einsum("qmd,mkd->qmk", self.split(queries), self.centres).astype(np.float32)
+        return np.einsum("qmd,mkd->qmk", self.split(queries), self.centres)
 
+    def rebuilt(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return np.concatenate([c[codes[:, m]] for m, c in enumerate(self.centres)], axis=1)[:, : self.dims]
 
-def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Codebooks | None, np.ndarray]:
-    """(index, codebooks, sample). Codebooks are fitted on the sample, at most sample_rows rows, chosen by a hash of
-    vec_id; every usable vector of the most frequent length is encoded and indexed, with a row_no of its own."""
+
+def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Codebooks | None, np.ndarray, np.ndarray]:
+    """(index, codebooks, vec_ids and vectors of the sample). Codebooks are fitted on the sample, at most sample_rows
+    rows, chosen by a hash of vec_id; every usable vector of the most frequent length is encoded and indexed, with
+    its length along the vector that its code stands for, and across it."""
     good = vectors.where(usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     sizes = good.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "row_no long, " + INDEX_SCHEMA), None, np.zeros((0, 0))
+        return vectors.sparkSession.createDataFrame([], INDEX_SCHEMA), None, np.zeros(0, np.int64), np.zeros((0, 0))
     good = good.where(F.size("v") == sizes[0]["dims"])
-    chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
-    sample = np.array(chosen["v"].tolist(), np.float64)
+    chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec_id", "v").toPandas()
+    names, sample = chosen["vec_id"].to_numpy(np.int64), np.array(chosen["v"].tolist(), np.float64)
     book = Codebooks.fit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,88 +123,108 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Dat
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
                 codes = book.encode(x)
+                near = book.rebuilt(codes)
+                ways = near / np.maximum(np.sqrt((near**2).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
+                along = (x * ways).sum(axis=1)
+                across = np.sqrt(((x - along[:, None] * ways) ** 2).sum(axis=1))
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 nibbles = codes[:, ::2] | codes[:, 1::2] << 4
                 lists = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (nibbles, x)]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists[0], pa.array((x**2).sum(axis=1) / 2), lists[1]], ["vec_id", "codes", "half_norm", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists[0], pa.array(along), pa.array(across), lists[1]], ["vec_id", "codes", "along", "across", "vector"])
 
-    coded = good.mapInArrow(run, INDEX_SCHEMA).select(F.monotonically_increasing_id().alias("row_no"), "*")
-    return materialize(coded, "ann-index"), book, sample
+    return materialize(good.mapInArrow(run, INDEX_SCHEMA), "ann-index"), book, names, sample
 
 
 def _stack(binaries: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(binaries), dtype).reshape(len(binaries), -1)
 
 
-def _scores(lut: np.ndarray, codes: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Approximate q.x - |x|^2 / 2 of each query and row."""
-    scores = np.repeat(-half[None, :], len(lut), axis=0)
+def _products(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Product of each query with the vector that each row's code stands for."""
+    out = np.zeros((len(lut), len(codes)))
     for m in range(lut.shape[1]):
-        scores += lut[:, m, codes[:, m]]
-    return scores
+        out += lut[:, m, codes[:, m]]
+    return out
+
 
+def _bounds(products: np.ndarray, lengths: np.ndarray, q: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """At most the distance of each query and row.
 
-def _best(scores: np.ndarray, names: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the keep largest scores, ties by smaller name."""
-    if len(scores) > keep:
-        least = np.partition(scores, len(scores) - keep)[len(scores) - keep]
-        at = np.flatnonzero(scores >= least)
+    Both vectors split into what lies along the code's vector, where they are known, and what lies across it,
+    where the lengths alone are known and differ by no more than the vectors do.
+    """
+    on = np.where(lengths > 0, products / np.where(lengths > 0, lengths, 1.0), 0.0)
+    norms = (q**2).sum(axis=1)[:, None]
+    off = np.sqrt(np.maximum(norms - on**2, 0.0))
+    # the root of a small difference of squares is known to the root of their rounding
+    room = ROUNDING * (np.sqrt(norms) + np.abs(along) + across)
+    loose = np.minimum(np.sqrt(ROUNDING * norms), ROUNDING * norms / np.maximum(off, np.finfo(float).tiny))
+    return np.hypot(np.maximum(np.abs(on - along) - room, 0.0), np.maximum(np.abs(off - across) - room - loose, 0.0))
+
+
+def _best(distances: np.ndarray, names: np.ndarray, keep: int) -> np.ndarray:
+    """Positions of the keep smallest distances, ties by smaller name."""
+    if len(distances) > keep:
+        at = np.flatnonzero(distances <= np.partition(distances, keep - 1)[keep - 1])
     else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((names[at], -scores[at]))[:keep]]
+        at = np.arange(len(distances))
+    return at[np.lexsort((names[at], distances[at]))[:keep]]
 
 
-def _search_block(index: DataFrame, book: Codebooks, sample: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, shortlist: int) -> DataFrame:
-    """The k nearest rows of the index for a block of at most QUERY_BLOCK queries.
+def _limits(own: np.ndarray, queries: np.ndarray, names: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each query has k rows of the sample, infinite if the sample has fewer."""
+    out = np.full(len(own), np.inf)
+    half = (sample**2).sum(axis=1) / 2
+    for start in range(0, len(own), 64):
+        guesses = half - queries[start : start + 64] @ sample.T
+        for i, guess in enumerate(guesses, start):
+            guess[names == own[i]] = np.inf
+            if len(sample) - np.count_nonzero(names == own[i]) >= k:
+                near = np.argpartition(guess, k - 1)[:k]
+                out[i] = np.sqrt(((sample[near] - queries[i]) ** 2).sum(axis=1)).max()
+    return out
 
-    A scan reports rows whose score is at least the shortlist-th best of a sample, which no row of the
-    whole table's shortlist falls below, and at most `shortlist` rows of each task.
-    """
-    lut, some = book.tables(queries), sample[:BOUND_ROWS]
-    floor = np.full(len(names), -np.inf, np.float32)
-    if len(some) > shortlist:  # the query's own row may be among them
-        coded, half = book.encode(some), ((some**2).sum(axis=1) / 2).astype(np.float32)
-        for start in range(0, len(names), 64):
-            scores = _scores(lut[start : start + 64], coded, half)
-            floor[start : start + 64] = np.partition(scores, len(some) - shortlist - 1, axis=1)[:, len(some) - shortlist - 1]
-    sent = index.sparkSession.sparkContext.broadcast((names, queries, lut, floor))
+
+def _search_block(index: DataFrame, book: Codebooks, names: np.ndarray, queries: np.ndarray, limits: np.ndarray, k: int, shortlist: int) -> DataFrame:
+    """The k nearest rows of the index for a block of at most QUERY_BLOCK queries; each task of the scan reports at most k for each."""
+    sent = index.sparkSession.sparkContext.broadcast((names, queries, limits, book))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _, tables, least = sent.value
-        held = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, rows = (batch.column(c).to_numpy() for c in ("vec_id", "row_no"))
-            packed, half = _stack(batch.column("codes").to_pylist(), "u1"), batch.column("half_norm").to_numpy().astype(np.float32)
+        own, q, least, codebooks = sent.value
+        least, tables = least.copy(), codebooks.tables(q)
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
+
+        def rank(i: int, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+            for start in range(0, len(at), EXACT_ROWS):
+                rows = at[start : start + EXACT_ROWS]
+                d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
+                both = np.concatenate([held[i][0], d]), np.concatenate([held[i][1], ids[rows]])
+                first = _best(*both, k)
+                held[i] = both[0][first], both[1][first]
+            if len(held[i][0]) == k:
+                least[i] = min(least[i], held[i][0][-1])
+
+        for batch in (batch.slice(at, SCAN_ROWS) for batch in batches for at in range(0, batch.num_rows, SCAN_ROWS)):
+            ids, along, across = (batch.column(c).to_numpy() for c in ("vec_id", "along", "across"))
+            packed, x = _stack(batch.column("codes").to_pylist(), "u1"), _stack(batch.column("vector").to_pylist(), "<f8")
             codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(ids), -1)[:, : tables.shape[1]]
+            lengths = np.sqrt((codebooks.rebuilt(codes) ** 2).sum(axis=1))
             for start in range(0, len(own), 64):
-                scores = _scores(tables[start : start + 64], codes, half)
-                for i, line in enumerate(scores, start):
-                    at = np.flatnonzero((line >= least[i]) & (ids != own[i]))
-                    if len(at):
-                        both = [np.concatenate(x) for x in zip(held[i], (line[at], ids[at], rows[at]), strict=True)]
-                        first = _best(both[0], both[1], shortlist)
-                        held[i] = tuple(x[first] for x in both)
-        if any(len(x[0]) for x in held):
-            sizes = [len(x[0]) for x in held]
-            columns = [np.repeat(own, sizes), *[np.concatenate([x[c] for x in held]) for c in (2, 1, 0)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "row_no", "vec_id", "guess"])
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, _, _ = sent.value
-        order = np.argsort(own)
-        for batch in batches:
-            if batch.num_rows:
-                x = _stack(batch.column("vector").to_pylist(), "<f8")
-                at = order[np.searchsorted(own[order], batch.column("query_id").to_numpy())]
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt(((x - q[at]) ** 2).sum(axis=1)))], ["query_id", "vec_id", "score"])
-
-    found = index.select("row_no", "vec_id", "codes", "half_norm").mapInArrow(scan, "query_id long, row_no long, vec_id long, guess float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id", "row_no")
-    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).select("query_id", "row_no", "vec_id")
-    near = best.join(index.select("row_no", "vector"), "row_no").select("query_id", "vec_id", "vector").mapInArrow(exact, "query_id long, vec_id long, score double")
+                bounds = _bounds(_products(tables[start : start + 64], codes), lengths, q[start : start + 64], along, across)
+                for i, line in enumerate(bounds, start):
+                    at = np.flatnonzero(~(line > least[i]) & (ids != own[i]))
+                    if len(at) > shortlist:
+                        at = at[np.argpartition(line[at], shortlist)]
+                        rank(i, at[:shortlist], ids, x)
+                        at = at[shortlist:][~(line[at[shortlist:]] > least[i])]
+                    rank(i, at, ids, x)
+        sizes = [len(h[0]) for h in held]
+        if any(sizes):
+            columns = [np.repeat(own, sizes), np.concatenate([h[1] for h in held]), np.concatenate([h[0] for h in held])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    near = index.mapInArrow(scan, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -209,11 +236,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int =
     components take no part, nor do rows without vec_id. Rows of the query's vec_id are no candidates;
     of queries with equal vec_id the smallest vector by bytes asks. Ties go to the smaller vec_id; a
     table without usable vectors gives an empty result. Queries go through the scan in blocks, so what
-    is broadcast is bounded whatever the number of queries. shortlist is how many rows of the whole table
-    each query ranks exactly.
+    is broadcast is bounded whatever the number of queries. The result is exact; shortlist is how many rows of a
+    batch a query ranks before the bounds decide about the rest, which changes the work alone.
     """
     spark = vectors.sparkSession
-    index, book, sample = build_index(vectors.where("vec_id IS NOT NULL"))
+    index, book, sampled, sample = build_index(vectors.where("vec_id IS NOT NULL"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if book is None:
         return empty
@@ -225,6 +252,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int =
         rows = mine.toPandas()
         if len(rows):
             names, q = rows["vec_id"].to_numpy(np.int64), _stack(rows["vector"].tolist(), "<f8")
-            near = materialize(_search_block(index, book, sample, names, q, k, shortlist), "ann-near")
+            near = materialize(_search_block(index, book, names, q, _limits(names, q, sampled, sample, k), k, shortlist), "ann-near")
             out = near if out is None else out.unionByName(near)
     return empty if out is None else out

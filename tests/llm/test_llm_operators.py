@@ -520,6 +520,19 @@ def test_recall_on_the_given_vectors_whatever_the_files(spark):
     assert key(got) == key(again)
 
 
+def test_nearest_rows_of_tight_clusters_and_shifted_vectors_are_exact(spark):
+    rng = np.random.default_rng(4)
+    clusters = rng.normal(size=(3, 16))[rng.integers(0, 3, 3000)] + 1e-4 * rng.normal(size=(3000, 16))
+    scales = rng.normal(size=(3000, 16)) * 10.0 ** rng.integers(-3, 4, (3000, 1))
+    for wide in (clusters, scales, 1e4 + rng.normal(size=(3000, 16))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, F.col("vec_id") % 100 == 0).toPandas().sort_values(["query_id", "rank"])
+        for q, part in got.groupby("query_id"):
+            distance = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+            distance[q] = np.inf
+            assert part.vec_id.tolist() == np.lexsort((np.arange(3000), distance))[:10].tolist()
+
+
 # WARC
 
 
