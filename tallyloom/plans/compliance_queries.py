@@ -21,10 +21,12 @@ def _flags(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("int") for n, kind in df.dtypes if kind == "boolean"})
 
 
+def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.user_scopes(*_views(spark, sf_dir, "services", "receipts", "declarations"))
+
+
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    services, months, receipts, declarations = _views(spark, sf_dir, "services", "months", "receipts", "declarations")
-    status = c.service_month_status(services, months, receipts, declarations)
-    return c.user_month_summary(status, c.services_in_scope(services, months))
+    return c.scope_summary(_scopes(spark, sf_dir), view(spark, sf_dir, "fx_months"))
 
 
 def month_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def user_month_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.submit_check(c.service_month_status(*_views(spark, sf_dir, "services", "months", "receipts", "declarations")))
+    return c.scope_submit_check(*_views(spark, sf_dir, "services", "months", "receipts", "declarations"))
 
 
 def user_service_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ def account_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.history_rows(_summary(spark, sf_dir), *_views(spark, sf_dir, "submissions", "receipts"))
+    return c.scope_history(_scopes(spark, sf_dir), *_views(spark, sf_dir, "months", "submissions", "receipts"))
 
 
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def month_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(st.own_history(_history(spark, sf_dir), view(spark, sf_dir, "fx_submissions")))
+    return _flags(st.own_history(_history(spark, sf_dir).where("has_submission"), view(spark, sf_dir, "fx_submissions")))
 
 
 def submission_list(spark: SparkSession, sf_dir: str) -> DataFrame:
