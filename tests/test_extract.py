@@ -104,3 +104,19 @@ def test_numbers_of_any_scale(spark):
     matched = spark.createDataFrame([(1, "L", ["c", "r"])], "statement_id int, line_key string, component_keys array<string>")
     evidence = spark.sql("SELECT 1 AS statement_id, 'c' AS component_key, CAST(1500 AS DECIMAL(14,0)) AS signed_amount, 'JPY' AS currency UNION ALL SELECT 1, 'r', CAST(-100 AS DECIMAL(14,0)), 'JPY'")
     assert evidence_calculation(matched, evidence).first()["calculation"] == "1500 - 100 = 1400 JPY"
+
+
+def test_patterns_run_only_where_their_letters_are(spark):
+    assert x.marks(r"^total\b(?!\s+excluding)") == [["total"]] and x.marks(r"\bpaid\b|領収いたしました") == [["paid"], ["領収いたしました"]]
+    assert x.marks("^支払(?:済)?額\\b") == [["支払", "額"]]
+    labels = [*x.DATE_LABELS, *x.AMOUNT_LABELS, *x.REFUND_LABELS, *[p for _, p in (*x.SERVICES, *x.PLANS)]]
+    assert all(words for label in labels for words in x.marks(label))
+    # Java's patterns take these signs for letters when cases and Unicode classes are on
+    rows = spark.createDataFrame([("Amount PAıD $5",), ("Grand total ſum\nGRAND TOTAL €7",), ("nothing $9",)], "text string")
+    got = rows.select(x.total_amount(F.col("text"))["amount"].cast("int").alias("n")).collect()
+    assert [r.n for r in got] == [5, 7, None]
+
+
+def test_a_month_that_is_no_number_gives_no_day(spark):
+    rows = spark.createDataFrame([("Date paid Sept 5, 2026",), ("Date paid 2026-02-30",), ("Date paid Sep 5, 2026",)], "text string")
+    assert [str(r.d) for r in rows.select(x.payment_date(F.col("text")).alias("d")).collect()] == ["None", "None", "2026-09-05"]
