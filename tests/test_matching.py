@@ -254,3 +254,31 @@ def test_plan_change_needs_every_condition_and_one_user(spark):
     assert plan(spark, rows, [change, rival], [named, rival_old]) == {}
     two = [(1, "0340", 1, dt.date(2026, 6, 7), *rows[0][4:]), (1, "0343", 2, at, *rows[0][4:])]
     assert plan(spark, two, [change], [named]) == {"0343": 341}
+
+
+def test_evidence_is_kept_and_numbered_without_a_join_of_all_rows(spark):
+    columns = "statement_id long, component_key string, receipt_id long, receipt_order long, merchant_key string, signed_amount decimal(14,2), currency string, event_date date, role string, document_kind string, invoice_number string, transaction_id string, related_transaction_id string"
+    row = lambda key, order, kind, invoice: (1, key, 1, order, "M", Decimal(5), "USD", dt.date(2026, 1, 2), "charge", kind, invoice, "", "")
+    rows = spark.createDataFrame([row("a", 3, "invoice", "I-1"), row("b", 4, "charge", "i1"), row("c", None, "charge", ""), row("d", 2, "charge", None)], columns)
+    unique = m.unique_evidence(rows)
+    assert [(r.component_key, r.component_index, r.quality) for r in unique.orderBy("component_index").collect()] == [("c", 0, 0), ("d", 1, 0), ("b", 2, 0)]
+    # the rows in order are written, so no later reader sorts or joins them again
+    plan = unique._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_pairs_are_grouped_where_they_meet(spark):
+    lines = spark.range(8).selectExpr("1L AS statement_id", "id AS line_key", "id AS sequence", "DATE '2026-01-02' AS line_date", "'M' AS merchant_key", "CAST(5 AS DECIMAL(14,2)) AS original_amount", "'USD' AS original_currency", "CAST(5 AS DECIMAL(14,2)) AS amount_jpy")
+    unique = spark.range(8).selectExpr(
+        "1L AS statement_id", "'M' AS merchant_key", "IF(id % 2 = 0, 'USD', 'JPY') AS currency", "CAST(5 AS DECIMAL(14,2)) AS signed_amount", "DATE '2026-01-01' AS event_date", "id AS component_key", "'charge' AS role",
+        "'charge' AS document_kind", "0 AS quality", "CAST(id AS INT) AS component_index",
+    )
+    edges = m.direct_edges(m.amount_options(lines), unique)
+    assert edges.count() == 64 and edges.where("basis = IF(currency = 'USD', 'original', 'jpy')").count() == 64
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange hashpartitioning") == 2
