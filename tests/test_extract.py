@@ -120,3 +120,14 @@ def test_patterns_run_only_where_their_letters_are(spark):
 def test_a_month_that_is_no_number_gives_no_day(spark):
     rows = spark.createDataFrame([("Date paid Sept 5, 2026",), ("Date paid 2026-02-30",), ("Date paid Sep 5, 2026",)], "text string")
     assert [str(r.d) for r in rows.select(x.payment_date(F.col("text")).alias("d")).collect()] == ["None", "None", "2026-09-05"]
+
+
+def test_components_are_read_and_named_within_their_row(spark):
+    part = '{"component_key": "%s", "role": "%s", "signed_amount": "%s", "currency": "$", "transaction_date": "2026-01-02"}'
+    listed = "[" + ", ".join(part % p for p in (("a b", "charge", "5"), ("a_b", "other", "5"), ("a  b", "Refund ", "-6"), ("", "charge", "x"), ("a_ b", "", "7"), ("", "charge", "8"))) + ", null]"
+    rows = spark.createDataFrame([(1, listed, "P", "invoice"), (2, "[]", "P", ""), (3, "no list", "P", ""), (4, None, "P", "")], "receipt_id int, components string, payee string, kind string")
+    out = ex.normal_components(rows)
+    got = [(r.receipt_id, r.pos, r.component_key, r.role, float(r.signed_amount), r.payee, r.document_kind) for r in out.orderBy("receipt_id", "pos").collect()]
+    assert got == [(1, 0, "a_b", "charge", 5.0, "P", "invoice"), (1, 2, "a_b-3", "refund", -6.0, "P", "invoice"), (1, 4, "a_b-5", "charge", 7.0, "P", "invoice"), (1, 5, "component-6", "charge", 8.0, "P", "invoice")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("from_json(") == 1
