@@ -17,14 +17,21 @@ DETAILS = (
 DATES = ("change_date", "previous_plan_unused_from", "previous_plan_end", "new_plan_start", "new_plan_end")
 
 
-def plan_details(json: Column) -> Column:
-    """The typed plan change of a JSON object; null if it names no plan."""
-    raw = F.from_json(json, DETAILS)
+def plan_details(json: Column, only: tuple[str, ...] = ()) -> Column:
+    """The typed plan change of a JSON object, or those of its fields that are named; null if it names no plan."""
     empty = lambda c: F.coalesce(c, F.lit(""))
-    previous, new = (x.normal_plan_name(empty(raw[c])) for c in ("previous_plan", "new_plan"))
-    fields = [previous.alias("previous_plan"), new.alias("new_plan"), *[cal.iso_date(raw[c]).alias(c) for c in DATES]]
-    fields += [t.signed_amount(F.when(raw["adjustment_amount"] != "", raw["adjustment_amount"])).alias("adjustment_amount"), t.currency_code(empty(raw["adjustment_currency"])).alias("adjustment_currency")]
-    return F.when((previous != "") | (new != ""), F.struct(*fields, t.confidence(raw["confidence"]).alias("confidence")))
+
+    def typed(raw: Column) -> Column:
+        plans = F.struct(*[x.normal_plan_name(empty(raw[c])).alias(c) for c in ("previous_plan", "new_plan")])
+        fields = {c: cal.iso_date(raw[c]) for c in DATES}
+        fields["adjustment_amount"] = t.signed_amount(F.when(raw["adjustment_amount"] != "", raw["adjustment_amount"]))
+        fields |= {"adjustment_currency": t.currency_code(empty(raw["adjustment_currency"])), "confidence": t.confidence(raw["confidence"])}
+        kept = [c.alias(n) for n, c in fields.items() if not only or n in only]
+        named = lambda p: F.struct(p["previous_plan"].alias("previous_plan"), p["new_plan"].alias("new_plan"), *kept)
+        return t.let(plans, lambda p: F.when((p["previous_plan"] != "") | (p["new_plan"] != ""), named(p)))
+
+    # an object is read once for all its fields
+    return t.let(F.from_json(json, DETAILS), typed)
 
 
 def context_key(names: DataFrame) -> Column:
@@ -43,10 +50,14 @@ def plan_change_documents(receipts: DataFrame, users: DataFrame) -> DataFrame:
     address names exactly one user (users: address, user_id), that user owns the change.
     """
     d = F.col("d")
-    read = receipts.withColumn("d", plan_details(F.col("plan_change"))).where((d["previous_plan"] != "") & d["previous_plan_end"].isNotNull())
+    details = F.array(plan_details(F.col("plan_change"), ("change_date", "previous_plan_end", "confidence")))
+    # what explode yields is not computed again where it is filtered or read
+    read = receipts.select("*", F.explode(F.filter(details, lambda d: (d["previous_plan"] != "") & d["previous_plan_end"].isNotNull())).alias("d"))
     address = t.first_email(F.concat_ws(" ", "recipient_name", "recipient_memo"))
-    named = users.select(F.col("address").alias("mail"), F.col("user_id").alias("mail_user"))
-    keyed = read.withColumn("mail", F.when(F.col("recipient_checked"), F.when(address != "", address))).join(named, "mail", "left").withColumn("key", context_key(read))
+    named = users.where(F.contains("address", F.lit("@"))).select(F.col("address").alias("mail"), F.col("user_id").alias("mail_user"))
+    # rows without an address meet no user; each has a key of its own, so that they do not go to one task
+    none = F.concat(F.lit("-"), F.col("receipt_id").cast("string"))
+    keyed = read.withColumn("mail", F.coalesce(F.when(F.col("recipient_checked"), F.when(address != "", address)), none)).join(named, "mail", "left").withColumn("key", context_key(read))
     return keyed.where("key IS NOT NULL").select(
         F.col("receipt_id").alias("change_id"), F.coalesce("mail_user", "user_id").alias("user_id"), F.col("key").alias("merchant_key"), d["previous_plan"].alias("previous_plan"),
         F.coalesce(F.when(d["new_plan"] != "", d["new_plan"]), F.col("plan_name"), F.lit("")).alias("new_plan"), d["change_date"].alias("change_date"),

@@ -10,6 +10,7 @@ from tallyloom.functions import extract as x
 from tallyloom.functions import text as t
 from tallyloom.functions.text import plain_number
 from tallyloom.operators import extraction as ex
+from tallyloom.operators import plan_sources as ps
 from tallyloom.operators.leftovers import evidence_calculation
 
 UPGRADE = """Receipt
@@ -131,3 +132,15 @@ def test_components_are_read_and_named_within_their_row(spark):
     assert got == [(1, 0, "a_b", "charge", 5.0, "P", "invoice"), (1, 2, "a_b-3", "refund", -6.0, "P", "invoice"), (1, 4, "a_b-5", "charge", 7.0, "P", "invoice"), (1, 5, "component-6", "charge", 8.0, "P", "invoice")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("from_json(") == 1
+
+
+def test_a_plan_change_is_read_once(spark):
+    columns = "receipt_id int, user_id int, service_label string, payee string, merchant_key string, plan_name string, plan_change string, recipient_name string, recipient_memo string, recipient_checked boolean"
+    change = '{"previous_plan": "my claude pro seat", "new_plan": "", "previous_plan_end": "2026-01-05", "confidence": "high"}'
+    rows = [(1, 7, "", "V", "M", "Max", change, "a@b.co", "", True), (2, 8, "", "V", "M", "", change, "-2", "", True), (3, 9, "", "V", "M", "", '{"new_plan": "x"}', "", "", False), (4, 9, "", "V", "M", "", None, "", "", False)]
+    users = spark.createDataFrame([("a@b.co", 70), ("-2", 80), (None, 90)], "address string, user_id int")
+    out = ps.plan_change_documents(spark.createDataFrame(rows, columns), users)
+    assert [(r.change_id, r.user_id, r.previous_plan, r.new_plan, str(r.previous_plan_end), r.confidence) for r in out.orderBy("change_id").collect()] == [
+        (1, 70, "Claude Pro", "Max", "2026-01-05", 0.95), (2, 8, "Claude Pro", "", "2026-01-05", 0.95)
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
