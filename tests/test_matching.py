@@ -1,6 +1,7 @@
 """The literal scenarios of one-to-one matching, netting and plan changes, and brute force on small blocks."""
 
 import datetime as dt
+import re
 import time
 from decimal import Decimal
 
@@ -282,3 +283,30 @@ def test_pairs_are_grouped_where_they_meet(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+NETS = [piece("C1", 23, "137.26"), piece("R1", 22, "-66.48", 1, role="refund", kind="refund"), piece("R2", 22, "-6.78", 2, role="refund", kind="refund")]
+
+
+def test_near_nets_are_not_shuffled_by_line(spark):
+    options = m.amount_options(spark.createDataFrame([line("L1", 23, "64"), line("L2", 24, "70.78")], LINE))
+    nets = m.refund_net_candidates(options, m.net_evidence(m.kept_evidence(spark.createDataFrame(NETS, PIECE))), linked=False)
+    assert {(r.line_key, r.charge_key, tuple(r.refund_keys)) for r in nets.collect()} == {("L1", "C1", ("R1", "R2"))}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = nets.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # slots, charges and refunds go by merchant and day; but for what fits, nothing goes by line
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert [re.sub(r"#\d+L?", "", x) for x in by if "line_key" in x] == ["statement_id, line_key, charge_key, refund_keys, 4"]
+
+
+def test_linked_refunds_meet_their_charge_before_lines(spark):
+    pieces = [piece("C1", 2, "42.90", transaction="SALE-123", invoice="sale123"), piece("C2", 2, "9"), piece("R1", 24, "-11.44", 1, role="refund", kind="refund", related="sale 123")]
+    unique = m.kept_evidence(spark.createDataFrame(pieces, PIECE))
+    assert [tuple(r) for r in m.refund_links(unique).select("charge_key", "refund_key").collect()] == [("C1", "R1")]
+    nets = m.refund_net_candidates(m.amount_options(spark.createDataFrame([line("L1", 3, "31.46")], LINE)), unique, linked=True)
+    assert [(r.line_key, r.charge_key, list(r.refund_keys), r.charge_days, r.worst) for r in nets.collect()] == [("L1", "C1", ["R1"], 1, 21)]
+    assert nets._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
