@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import assignment as a
 from tallyloom.operators import exclusive as e
+from tallyloom.operators import leftovers as lo
 from tallyloom.operators import matching as m
 from tallyloom.operators import plan_change as p
 from tallyloom.operators.parts import connected_parts
@@ -310,3 +311,16 @@ def test_linked_refunds_meet_their_charge_before_lines(spark):
     nets = m.refund_net_candidates(m.amount_options(spark.createDataFrame([line("L1", 3, "31.46")], LINE)), unique, linked=True)
     assert [(r.line_key, r.charge_key, list(r.refund_keys), r.charge_days, r.worst) for r in nets.collect()] == [("L1", "C1", ["R1"], 1, 21)]
     assert nets._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
+
+
+def test_a_summary_counts_each_table_once(spark):
+    lines = spark.createDataFrame([line("L1", 23, "64"), line("L2", 24, "5"), line("L3", 25, "6")], LINE)
+    pieces = [*NETS, piece("C2", 24, "5", 3), piece("C3", 9, "8", 4, transaction="T1"), piece("C4", 9, "9", 5, transaction="t-1")]
+    evidence = spark.createDataFrame(pieces, PIECE)
+    unique = m.unique_evidence(evidence)
+    matched = m.reconcile(lines, None, unique)
+    out = lo.statement_summary(lines, matched, unique, evidence)
+    assert [r.asDict() for r in out.collect()] == [
+        {"statement_id": 1, "lines": 3, "direct": 1, "original_charge": 0, "linked_refund_net": 0, "merchant_refund_net": 1, "matched": 2, "unused": 1, "duplicates": 1, "unmatched": 1, "status": "needs_review"}
+    ]
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
