@@ -9,6 +9,7 @@ from ..operators import leftovers as lo
 from ..operators import matching as m
 from ..operators import plan_change as p
 from ..operators import review as rv
+from ..sources.stages import staged
 from .fixtures import VIEWS, view, with_clause
 from .matching_queries import BOTH, DEDUP, EDGES, OPTIONS
 
@@ -71,10 +72,10 @@ def unused_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that no charge fits with charges of unread kinds."""
-    options, unique, edges = _pools(spark, sf_dir)
-    lines = options.where("pos = 0").join(edges, m.LINE_KEYS, "left_anti")
-    unread = unique.where("role = 'charge' AND document_kind IN ('unknown', 'invoice')")
-    return lo.review_pairing(lines, unread)
+    options = m.amount_options(view(spark, sf_dir, "fx_lines"))
+    kept = m.kept_evidence(view(spark, sf_dir, "fx_evidence")).where("role = 'charge'")
+    kept = staged(kept.select("statement_id", "merchant_key", "currency", "signed_amount", "event_date", "role", "document_kind", "receipt_order", "receipt_id"), "charges")
+    return lo.review_pairing(m.without_charge(options, kept), kept.where("document_kind IN ('unknown', 'invoice')"))
 
 
 def evidence_calc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,16 @@ def test_linked_refunds_meet_their_charge_before_lines(spark):
     assert nets._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
 
 
+def test_lines_without_a_charge_need_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    lines = [(1, f"L{i}", i, day(int(rng.integers(1, 28))), ("M", "N", "")[int(rng.integers(0, 3))], Decimal(int(rng.integers(1, 4))), "USD", Decimal(int(rng.integers(1, 4)))) for i in range(60)]
+    pieces = [piece(f"C{i}", int(rng.integers(1, 28)), str(rng.integers(1, 4)), i, merchant="MN"[i % 2], currency=("USD", "JPY")[i % 3 > 1]) for i in range(30)]
+    options, evidence = m.amount_options(spark.createDataFrame(lines, LINE)), spark.createDataFrame(pieces, PIECE)
+    edges = {r.line_key for r in m.direct_edges(options, m.unique_evidence(evidence)).collect()}
+    got = [r.line_key for r in m.without_charge(options, m.kept_evidence(evidence)).collect()]
+    assert sorted(got) == sorted(f"L{i}" for i in range(60) if f"L{i}" not in edges) and 0 < len(got) < 60
+
+
 def test_a_summary_counts_each_table_once(spark):
     lines = spark.createDataFrame([line("L1", 23, "64"), line("L2", 24, "5"), line("L3", 25, "6")], LINE)
     pieces = [*NETS, piece("C2", 24, "5", 3), piece("C3", 9, "8", 4, transaction="T1"), piece("C4", 9, "9", 5, transaction="t-1")]
