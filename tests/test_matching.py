@@ -191,6 +191,29 @@ def test_random_blocks_have_most_pairs_at_least_cost(spark):
             assert (-len(mine), spent) == cheapest_pairs(len(left), len(right), lambda i, j: price.get((left[i], right[j])))  # noqa: B023
 
 
+@pytest.mark.parametrize("steps", [1, 2, 3])
+def test_places_count_exactly_in_classes_of_any_size(spark, steps):
+    """Two lines between two days of charges that are cut into a few steps: the averages of a step name the wrong charges."""
+    rng = np.random.default_rng(steps)
+    lines, pieces = [], []
+    for block in range(40):
+        per_day = [int(rng.integers(1, 6)) for _ in range(3)]
+        order = rng.permutation(sum(per_day))
+        at = np.repeat([9, 10, 11], per_day)
+        pieces += [(block, *piece(f"C{k}", int(at[k]), "5", int(place), merchant="M", kind=("charge", "invoice")[int(rng.integers(0, 2))])[1:]) for k, place in enumerate(order)]
+        lines += [(block, f"L{k}", k, day(int(rng.choice([8, 10, 12]))), "M", Decimal(5), "USD", None) for k in range(int(rng.integers(1, 6)))]
+    lines, unique = spark.createDataFrame(lines, LINE), m.unique_evidence(spark.createDataFrame(pieces, PIECE))
+    edges = m.direct_edges(m.amount_options(lines), unique).toPandas()
+    rows = a.assign_by_counts(lines, unique, m.option_list(), 1, steps=steps).toPandas()
+    assert not rows.duplicated(["statement_id", "line_key"]).any() and not rows.duplicated(["statement_id", "component_key"]).any()
+    worth = lambda x: (x.days << 80) + (x.quality << 40) + x.component_index
+    for block, part in edges.groupby("statement_id"):
+        price = {(x.line_key, x.component_key): worth(x) for x in part.itertuples()}
+        left, right = sorted({k for k, _ in price}), sorted({k for _, k in price})
+        mine = rows[rows.statement_id == block]
+        assert (-len(mine), sum(worth(x) for x in mine.itertuples())) == cheapest_pairs(len(left), len(right), lambda i, j: price.get((left[i], right[j])))  # noqa: B023
+
+
 def walked(rows):
     used, taken = set(), []
     for at, names in sorted(rows):
