@@ -312,6 +312,20 @@ def test_pairs_are_grouped_where_they_meet(spark):
 NETS = [piece("C1", 23, "137.26"), piece("R1", 22, "-66.48", 1, role="refund", kind="refund"), piece("R2", 22, "-6.78", 2, role="refund", kind="refund")]
 
 
+@pytest.mark.parametrize("placed", [True, False])
+def test_nets_try_all_refunds_of_lines_with_a_merchant(spark, placed):
+    """A refund over zero lifts a set back to the amount; refunds come in the order of the statement, which is not that of their sign; a line without merchant has no net."""
+    refund = {"role": "refund", "kind": "refund"}
+    pieces = [piece("C1", 10, "20"), piece("R1", 10, "-9", 1, **refund), piece("R3", 10, "2", 3, **refund), piece("R2", 11, "-1", 2, **refund)]
+    pieces += [piece("C4", 10, "20", 4, merchant=""), piece("R5", 10, "-8", 5, merchant="", **refund)]
+    evidence = spark.createDataFrame(pieces, PIECE)
+    unique = m.net_evidence(m.unique_evidence(evidence, m.NET_COLUMNS) if placed else m.kept_evidence(evidence))
+    assert ("component_index" in unique.columns) == placed
+    options = m.amount_options(spark.createDataFrame([line("L1", 10, "12"), line("L2", 10, "13"), line("L3", 10, "12", merchant="")], LINE))
+    got = m.refund_net_candidates(options, unique, linked=False).collect()
+    assert sorted((r.line_key, r.charge_key, *r.refund_keys) for r in got) == [("L1", "C1", "R1", "R2", "R3"), ("L2", "C1", "R1", "R3")]
+
+
 def test_near_nets_are_not_shuffled_by_line(spark):
     options = m.amount_options(spark.createDataFrame([line("L1", 23, "64"), line("L2", 24, "70.78")], LINE))
     nets = m.refund_net_candidates(options, m.net_evidence(m.kept_evidence(spark.createDataFrame(NETS, PIECE))), linked=False)
