@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import shuffles_removed
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,10 +35,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. Of the
+    shuffles that it took no file is left."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.options(**options).parquet(path)
+    with shuffles_removed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +54,25 @@ def unused_name(df: DataFrame, stem: str = "own") -> str:
     return next(name for k in range(len(taken) + 1) if (name := f"_{stem}_{k}") not in taken)
 
 
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):  # not the GNU C library
+        return None
+
+
+TRIM = _trim()
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and the C library hold for later back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, memory that Arrow holds for later goes back to the system, as workers outlive their tasks."""
+    """The batches; after each, memory that is not used goes back to the system."""
     for batch in batches:
         yield batch
-        pa.default_memory_pool().release_unused()
+        give_back()

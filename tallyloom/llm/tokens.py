@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import given_back
+from .common import give_back, given_back
 
 END_ID = 0
 #: Bytes of text that are encoded together, and the most distinct pieces that a worker remembers.
@@ -172,7 +172,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, text: str = "bod
             part = batch.slice(at, stop - at)
             yield part, *encoder(vocabulary).encode(part.column(text))
             at = stop
-            pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import ann, chat, components, exact_dedup, mixing, near_copies, packing, secrets, simhash, token_files, tokens, toxicity, warc
+from tallyloom.llm import ann, chat, common, components, exact_dedup, mixing, near_copies, packing, secrets, simhash, token_files, tokens, toxicity, warc
+from tallyloom.sources import stages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("digest", "salt", "body", "fp", "rid", "copy", "copies", "keep_id", "row_no", "key", "n", "words", "score", "shuffle_key", "group_id")
@@ -184,6 +186,34 @@ def test_near_copies_in_a_crowd_are_all_found(spark):
     assert {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()} == want
 
 
+def test_texts_are_compared_with_one_candidate_before_others(spark, monkeypatch):
+    """Thirty copies of each of four texts: no more comparisons than texts, and the groups of all pairs."""
+    words = [[f"w{k}x{i}" for i in range(120)] for k in range(4)]
+    rows = [(100 * k + n, " ".join([*words[k][:n], f"own{n}", *words[k][n:]])) for k in range(4) for n in range(30)]
+    df, met, compare = spark.createDataFrame(rows, "doc_id long, text string"), [], near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *rest: met.append(pairs.count()) or compare(pairs, *rest))
+    got = {r.doc_id: r.group_id for r in near_copies.near_copy_groups(df).collect()}
+    assert got == {doc: doc // 100 * 100 for doc, _ in rows} and sum(met) <= len(rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while held.hasNext():
+            names.add(held.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    for write in (common.materialize, stages.staged):
+        before = files()
+        table = write(spark.range(5000).groupBy((F.col("id") % 997).alias("k")).count(), "counted")
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        assert not files() - before and table.count() == 997
+        assert spark.conf.get(stages.SHUFFLES_GO) == "false"
+
+
 def test_near_copies_of_few_shingles_are_all_found(spark):
     texts, at = [], 0
     for n, more in [(8, 1)] * 100 + [(16, 3)] * 50 + [(10, 1)] * 50:  # 4 against 5 shingles, 12 against 15, 6 against 7
