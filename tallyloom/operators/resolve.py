@@ -17,14 +17,17 @@ def catalog_aliases(catalog: DataFrame) -> DataFrame:
     return each.withColumn("alias", F.trim("alias")).where("alias <> ''").distinct()
 
 
-def catalog_strength(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names (text) against aliases: text, catalog_id, strength 4 equal, 3 contained, 2 related.
+#: Rows of either side that meet in one place for a token.
+MEETING = 2_000
 
-    Each way to match has a join of its own, so no name meets every alias: equal texts join on the text, shared
-    tokens on the token, and containment is what automata over the shorter texts find. Work on distinct names: there are far fewer than lines.
-    """
+
+def _sides(names: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = staged(names.select("text").distinct().withColumn("a", t.normal_text(F.col("text"))).where("a <> ''"), "names")
-    right = staged(aliases.select("catalog_id", "alias").withColumn("b", t.normal_text(F.col("alias"))).where("b <> ''"), "aliases")
+    return left, staged(aliases.select("catalog_id", "alias").withColumn("b", t.normal_text(F.col("alias"))).where("b <> ''"), "aliases")
+
+
+def _by_text(left: DataFrame, right: DataFrame) -> DataFrame:
+    """text, catalog_id, strength of equal texts and of those that hold each other."""
     exact = left.join(right, F.col("a") == F.col("b")).select("text", "catalog_id", F.lit(4).alias("strength"))
 
     def contained(long: DataFrame, key: str, short: DataFrame, other: str) -> DataFrame:
@@ -33,11 +36,42 @@ def catalog_strength(names: DataFrame, aliases: DataFrame) -> DataFrame:
         return met.withColumn("strength", F.when(F.length(other) >= 8, 3).otherwise(2)).select("text", "catalog_id", "strength")
 
     inside = contained(left, "a", right, "b").unionByName(contained(right, "b", left, "a"))
-    tokens = left.select("text", F.explode(t.identity_tokens(F.col("text"))).alias("token")).join(
-        right.select("catalog_id", F.explode(t.identity_tokens(F.col("alias"))).alias("token")).distinct(), "token"
-    )
-    shared = tokens.select("text", "catalog_id", F.lit(2).alias("strength"))
-    return exact.unionByName(inside).unionByName(shared).groupBy("text", "catalog_id").agg(F.max("strength").alias("strength"))
+    return staged(exact.unionByName(inside).groupBy("text", "catalog_id").agg(F.max("strength").alias("strength")), "strong")
+
+
+def _by_token(left: DataFrame, right: DataFrame, strong: DataFrame, meeting: int = MEETING) -> DataFrame:
+    """text, catalog_id, strength 2 of those that share a token, without the pairs of strong.
+
+    A pair comes from the first token that both have and from no other one, so none is listed twice and pairs are not shuffled. A
+    token of many texts and entries is cut into squares of `meeting` rows of each, which are joined where they are dealt to.
+    """
+    held = strong.groupBy("text").agg(F.collect_list("catalog_id").alias("held"), F.bool_or(F.col("catalog_id").isNull()).alias("held_null"))
+    own = left.select("text", F.sort_array(t.identity_tokens(F.col("text")), asc=False).alias("all"))
+    entries = right.groupBy("catalog_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(t.identity_tokens(F.col("alias"))))), asc=False).alias("all"))
+
+    def each(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*columns, "all", F.posexplode("all").alias("_at", "token")).withColumn("before", F.expr("slice(all, 1, _at)")).drop("all", "_at")
+
+    x, y = staged(each(own.join(held, "text", "left"), "text", "held", "held_null"), "text-tokens"), staged(each(entries, "catalog_id"), "entry-tokens")
+    blocks = lambda rows, name: rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / meeting).alias(name))
+    both = staged(blocks(x, "rows_x").join(blocks(y, "rows_y"), "token"), "shared-tokens")
+    x = x.join(both, "token").select("token", "text", "held", "held_null", F.col("before").alias("before_x"), F.pmod(F.xxhash64("text"), F.col("rows_x")).alias("i"), F.explode(F.expr("sequence(0L, rows_y - 1)")).alias("j"))
+    y = y.join(both, "token").select("token", "catalog_id", F.col("before").alias("before_y"), F.pmod(F.xxhash64("catalog_id"), F.col("rows_y")).alias("j"), F.explode(F.expr("sequence(0L, rows_x - 1)")).alias("i"))
+    known = F.when(F.col("catalog_id").isNull(), F.col("held_null")).otherwise(F.array_contains("held", F.col("catalog_id")))
+    met = x.join(y, ["token", "i", "j"]).where(~F.arrays_overlap("before_x", "before_y") & ~F.coalesce(known, F.lit(False)))
+    return met.select("text", "catalog_id", F.lit(2).alias("strength"))
+
+
+def catalog_strength(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """names (text) against aliases: text, catalog_id, strength 4 equal, 3 contained, 2 related.
+
+    Each way to match has a join of its own, so no name meets every alias: equal texts join on the text, shared
+    tokens on the token, and containment is what automata over the shorter texts find. Work on distinct names: there are far fewer than lines.
+    All pairs that share a token are a result, however many they are: who needs the best ones takes best_entries.
+    """
+    left, right = _sides(names, aliases)
+    strong = _by_text(left, right)
+    return strong.unionByName(_by_token(left, right, strong))
 
 
 def catalog_best(strength: DataFrame) -> DataFrame:
@@ -46,13 +80,22 @@ def catalog_best(strength: DataFrame) -> DataFrame:
     return strength.join(best, ["text", "strength"])
 
 
+def best_entries(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """catalog_best of catalog_strength: only texts that no entry equals, holds or stands in by eight signs meet others by their tokens."""
+    left, right = _sides(names, aliases)
+    strong = _by_text(left, right)
+    sure = staged(catalog_best(strong.where("strength > 2")), "sure")
+    rest, weak = left.join(sure, "text", "left_anti"), strong.join(sure, "text", "left_anti")
+    return sure.unionByName(weak).unionByName(_by_token(rest, right, weak))
+
+
 def merchant_keys(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """text, merchant_key: a known merchant, else that of the best entries, else the entries, else the
     longest token, else the normal text; null for texts without letters or digits."""
     aliases = catalog_aliases(catalog)
     spelled = aliases.groupBy("catalog_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("all"))
     entries = spelled.select("catalog_id", t.known_merchant(F.col("all")).alias("known"))
-    best = catalog_best(catalog_strength(names, aliases)).join(entries, "catalog_id").groupBy("text").agg(
+    best = best_entries(names, aliases).join(entries, "catalog_id").groupBy("text").agg(
         F.array_sort(F.collect_set("catalog_id")).alias("ids"), F.collect_set(F.when(F.col("known") != "", F.col("known"))).alias("known")
     )
     own = t.known_merchant(F.col("text"))

@@ -23,7 +23,7 @@ def catalog_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.catalog_best(catalog_strength(spark, sf_dir))
+    return r.best_entries(_names(spark, sf_dir), catalog_alias(spark, sf_dir))
 
 
 def merchant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
