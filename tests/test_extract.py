@@ -12,6 +12,7 @@ from tallyloom.functions.text import plain_number
 from tallyloom.operators import extraction as ex
 from tallyloom.operators import plan_sources as ps
 from tallyloom.operators.leftovers import evidence_calculation
+from tallyloom.plans import record_queries
 
 UPGRADE = """Receipt
 Anthropic, PBC
@@ -144,3 +145,15 @@ def test_a_plan_change_is_read_once(spark):
         (1, 70, "Claude Pro", "Max", "2026-01-05", 0.95), (2, 8, "Claude Pro", "", "2026-01-05", 0.95)
     ]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_queries_read_the_fields_that_they_ask(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, UPGRADE, ""), (2, REFUND, ""), (3, None, None)], "receipt_id long, text string, expected_context string")
+    kept, staged = [], record_queries.staged
+    monkeypatch.setattr(record_queries, "_texts", lambda *_: texts)
+    monkeypatch.setattr(record_queries, "staged", lambda df, label: kept.append(df.columns) or staged(df, label))
+    changes = record_queries.extract_plan_change(spark, "").collect()
+    assert [(r.receipt_id, r.previous_plan, r.new_plan, r.change_date, r.adjustment) for r in changes] == [(1, "Claude Pro", "Max plan - 20x", "2026-06-06", -421)]
+    assert {r.receipt_id for r in record_queries.extract_components(spark, "").collect()} == {1, 2}
+    assert record_queries.extract_records(spark, "").count() == 3
+    assert kept[:2] == [["receipt_id", "plan_change"], ["receipt_id", "components"]] and not {"plan_change", "components"} & set(kept[2])
