@@ -41,6 +41,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = scratch_path(spark, label)
     with shuffles_removed(spark):
         df.write.options(**options).parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
